@@ -1,3 +1,12 @@
 """What some of the text queries give, as SQL; the others are tested against brute force and round trips."""
 
-SQL: dict[str, str] = {}
+_RUNS = r"""
+select distinct {id}, array_to_string(list_slice(w, i, i + 12), ' ') as run
+from (select {id}, w, unnest(range(1, len(w) - 11)) as i
+      from (select {id}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as w from {table} where text is not null))
+"""
+
+SQL: dict[str, str] = {
+    "p8_found": f"""select distinct d.doc_id, e.eval_id
+from ({_RUNS.format(id="doc_id", table="documents")}) d join ({_RUNS.format(id="eval_id", table="eval_items")}) e on d.run = e.run""",
+}

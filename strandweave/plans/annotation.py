@@ -58,7 +58,7 @@ def _extent(rows: DataFrame, key: str, feature: str) -> DataFrame:
     return rows.join(last, key).groupBy(key).agg(F.min(F.when(counted, F.col("start"))).alias("start"), F.max(F.when(counted, F.col("end"))).alias("end"))
 
 
-def genes_and_transcripts(entries: DataFrame, use_version: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def genes_and_transcripts(entries: DataFrame, use_version: bool = False, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Genes, transcripts, exons and introns of annotation entries; segments are 0-based and half-open.
 
     genes(gene_id, chromosome, strand, gene_name, start, end, first_seen), transcripts(transcript_id, gene_id,
@@ -66,7 +66,8 @@ def genes_and_transcripts(entries: DataFrame, use_version: bool = False) -> tupl
     gene (or transcript) line sets the extent, later lines widen it; chromosome and strand are of the last gene line,
     else of the first line; names are the last that aren't empty. Overlapping exons are merged, touching ones are not.
     A transcript id of several genes gets the gene's id in front, for each of them. A gene without transcripts becomes
-    its own transcript and exon. Introns are what exons leave free, all of a transcript without exons.
+    its own transcript and exon. Introns are what exons leave free, all of a transcript without exons. A transcript line
+    may leave exons before it outside the extent; for the introns they are clipped to it, or an error with ``strict``.
     """
     f = _features(entries, use_version)
     is_gene = F.col("feature") == "gene"
@@ -88,7 +89,11 @@ def genes_and_transcripts(entries: DataFrame, use_version: bool = False) -> tupl
     transcripts = real.unionByName(lone)
     exons = intervals.collapse(t.where("feature = 'exon'").select("transcript_id", "start", "end"), ["transcript_id"])
     exons = exons.unionByName(lone.select("transcript_id", "start", "end"))
-    introns = intervals.invert(exons, transcripts.select("transcript_id", "start", "end"), ["transcript_id"])
+    inner = exons
+    if not strict:
+        bound = transcripts.select("transcript_id", F.col("start").alias("_from"), F.col("end").alias("_to"))
+        inner = exons.join(bound, "transcript_id").select("transcript_id", F.greatest("start", "_from").alias("start"), F.least("end", "_to").alias("end"))
+    introns = intervals.invert(inner, transcripts.select("transcript_id", "start", "end"), ["transcript_id"])
     return genes, transcripts, exons, introns
 
 
@@ -96,7 +101,8 @@ def cut_segments(genome: DataFrame, segments: DataFrame, chromosome: str = "chro
     """The segments with ``sequence``, their part of the genome(chromosome, sequence); 0-based, half-open.
 
     Chromosomes are cut into windows, segments meet the windows they touch, and their parts are joined in order, so that
-    no chromosome is copied per segment. A segment beyond its chromosome's end has the part that there is.
+    no chromosome is copied per segment. A segment beyond its chromosome's end has the part that there is, which may be
+    empty; segments of chromosomes that the genome lacks are left out.
     """
     size = 1 << WINDOW_BITS
     windows = genome.select(F.col(chromosome).alias("_c"), F.posexplode(F.transform(
@@ -109,10 +115,11 @@ def cut_segments(genome: DataFrame, segments: DataFrame, chromosome: str = "chro
     )
     base = F.col("_w").cast("bigint") * size
     begin = F.greatest(F.col("start") - base, F.lit(0))
-    met = touched.join(windows, (F.col(chromosome) == F.col("_c")) & (F.col("_w") == F.col("_n"))).select(
+    known = touched.join(genome.select(chromosome).distinct(), chromosome, "left_semi")
+    met = known.join(windows, (F.col(chromosome) == F.col("_c")) & (F.col("_w") == F.col("_n")), "left").select(
         *columns, "_id", "_w", F.substring("_part", (begin + 1).cast("int"), (F.least(F.col("end") - base, F.lit(size)) - begin).cast("int")).alias("_s")
     )
-    joined = met.groupBy("_id", *columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_s"))), lambda x: x["_s"]), "").alias("sequence"))
+    joined = met.groupBy("_id", *columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_w", F.coalesce("_s", F.lit("")).alias("_s")))), lambda x: x["_s"]), "").alias("sequence"))
     return joined.drop("_id")
 
 

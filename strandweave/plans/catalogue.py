@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.plans import problem_sql, problems
+from strandweave.plans import problem_sql, problems, reference, reference_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return {**problems.QUERIES, **reference.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problem_sql.SQL)
+    return {**problem_sql.SQL, **reference_sql.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p6_found(spark, sf_dir)
+    return reference.barcode_counts(spark, sf_dir)

@@ -46,7 +46,7 @@ keyed as (
 )"""
 
 _ITEM = r' *([^ ;"]+ +([^ ;"][^;"]*|"[^"]*" *))?'
-_LINES = rf"""
+LINES = rf"""
 lines as (
   select raw_no, case when right(line, 1) = chr(13) then left(line, length(line) - 1) else line end as line
   from gtf_lines where line is null or not starts_with(line, '#')
@@ -105,8 +105,8 @@ having count(*) * 20 > (select count(*) from keyed x where x.table_name = k.tabl
 select table_name, key_value, count(*) as n_rows, cast(coalesce(sum(len), 0) as bigint) as total_length,
   min(loaded_at) as first_at, max(loaded_at) as last_at
 from keyed group by table_name, key_value""",
-    "p4_found": f"with {_LINES} select raw_no, reason from judged where reason is not null",
-    "p4_entries": rf"""with {_LINES}
+    "p4_found": f"with {LINES} select raw_no, reason from judged where reason is not null",
+    "p4_entries": rf"""with {LINES}
 select raw_no, trim(c[1], ' ') as chromosome, trim(c[2], ' ') as source, trim(c[3], ' ') as feature,
   cast(trim(c[4], ' ') as bigint) as start_pos, cast(trim(c[5], ' ') as bigint) as end_pos, trim(c[6], ' ') as score,
   trim(c[7], ' ') as strand, trim(c[8], ' ') as frame,

@@ -35,6 +35,8 @@ COSINE, SHORT = 0.25, 0.5
 BLOCK_ITEMS, ITEM_CHARS = 4000, 1_000_000
 #: A paraphrase shares this part of a passage's words in order, and this part of its rare words.
 LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
+#: A word is rare in up to so many documents, or one in a thousand.
+RARE = 5
 _SLICE = 512
 
 
@@ -190,7 +192,7 @@ def build_index(docs: DataFrame, items: list[tuple], rank: int = RANK) -> ItemIn
     frame = spark.createDataFrame(pa.table({"words": pa.array(parts, pa.list_(pa.int64()))})).repartition(max(1, len(parts) // 2000))
     basis = latent_basis(frame, weights, rank)
     latent = project(parts, weights, basis)
-    rare = frequency <= max(1, n // 1000)
+    rare = frequency <= max(RARE, n // 1000)
     rare |= np.array([w.isdigit() for w in numbers])
     return ItemIndex([i for i, _ in split], coded, numbers, weights, basis, passages, latent, np.linalg.norm(latent, axis=1), rare)
 

@@ -100,7 +100,7 @@ def cigar(reference: str | Column, query: str | Column, mismatch: bool = False)
     states = F.array_join(F.zip_with(F.split(rd, ""), F.split(qd, ""), state), "")
     runs = F.regexp_extract_all(states, F.lit("(M+|I+|D+|X+)"), F.lit(1))
     out = F.array_join(F.transform(runs, lambda x: F.concat(F.char_length(x).cast("string"), F.substring(x, 1, 1))), "")
-    return F.when(r.isNull() | q.isNull(), F.lit(None)).when(fine, out).otherwise(F.raise_error(F.lit("sequences must be nucleotides of equal length")))
+    return F.when(r.isNull() | q.isNull(), F.lit(None)).when((r == "") & (q == ""), "").when(fine, out).otherwise(F.raise_error(F.lit("sequences must be nucleotides of equal length")))
 
 
 def quality_values(quality: str | Column) -> Column:
@@ -138,7 +138,7 @@ def likely_code(a: Column, c: Column, g: Column, t: Column, ambiguous: bool = Fa
 def _edit_distance(a: str, b: str) -> int:
     """Edit distance in which codes that share a base agree; other characters agree with themselves only."""
     bit = {c: int(d, 16) for c, d in zip(CODES, DIGITS)}
-    x, y = np.array([bit.get(c, 0) for c in a]), np.array([bit.get(c, 0) for c in b])
+    x, y = (np.array([bit.get(c, 0) for c in t], dtype=np.int64) for t in (a, b))
     same = (x[:, None] & y[None, :]) > 0
     other = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
     for i, c in enumerate(a):

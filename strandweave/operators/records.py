@@ -67,8 +67,11 @@ def split_records(records: DataFrame, split: Column | None = None, n: int | None
     if (split is None) == (n is None):
         raise BamError("give either a split column or a number of splits")
     if split is not None:
-        out = checked_pairs(records, split) if check_pairs else records.withColumn("split_id", split)
-        return out.select(*records.columns, "split_id")
+        if not check_pairs:
+            return records.withColumn("split_id", split)
+        # The group hangs on the check, which would be pruned otherwise.
+        checked = F.when(F.col("pair_index").isNotNull(), F.col("split_id")).alias("split_id")
+        return checked_pairs(records, split).select(*records.columns, checked)
     marked = checked_pairs(records) if check_pairs else records.withColumn("pair_index", F.col("record_index")).withColumn("pair_last", F.lit(True))
     total = marked.count()
     size = total // n + 1

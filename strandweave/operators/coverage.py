@@ -57,19 +57,21 @@ def merge_intervals(rows: DataFrame, entity: str, start: str, end: str, shard_bi
         .withColumn("absorbed", F.coalesce(F.col("block_start") <= F.col("outside"), F.lit(False)))
         .withColumn("crosses", F.col("block_end") > last_of_shard)
     )
-    free = blocks.where(~F.col("absorbed"))
-    whole = free.where(~F.col("crosses")).select("entity", F.lit("block").alias("kind"), F.col("block_start").alias("start_pos"), F.col("block_end").alias("end_pos"))
-    gaps = free.where(F.col("block_start") - F.col("covered") > 1).select(
-        "entity", F.lit("gap").alias("kind"), (F.col("covered") + 1).alias("start_pos"), (F.col("block_start") - 1).alias("end_pos")
+    # What a block gives, in one pass: a finished block or the head of a chain, the gap before it, or, absorbed, what it
+    # adds to a chain's end.
+    free, start, end = ~F.col("absorbed"), F.col("block_start"), F.col("block_end")
+    given = lambda when, kind, s, e: F.when(when, F.struct(F.lit(kind).alias("kind"), s.alias("start_pos"), e.alias("end_pos")))
+    parts = F.array(
+        given(free & ~F.col("crosses"), "block", start, end),
+        given(free & F.col("crosses"), "head", start, end),
+        given(free & (start - F.col("covered") > 1), "gap", F.col("covered") + 1, start - 1),
+        given(F.col("absorbed") & (end > F.col("outside")), "more", start, end),
     )
+    pieces = blocks.select("entity", F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select("entity", "p.*")
     # A chain is a crossing block and what later shards add to its end; few blocks cross, none is gathered per entity.
-    heads = free.where("crosses").select("entity", F.col("block_start").alias("at"), F.col("block_start").alias("head"), "block_end")
-    followers = blocks.where(F.col("absorbed") & (F.col("block_end") > F.col("outside"))).select(
-        "entity", F.col("block_start").alias("at"), F.lit(None).cast("bigint").alias("head"), "block_end"
-    )
-    so_far = Window.partitionBy("entity").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    chained = heads.unionByName(followers).withColumn("chain", F.last("head", ignorenulls=True).over(so_far))
-    chains = chained.groupBy("entity", "chain").agg(F.max("block_end").alias("end_pos")).select(
-        "entity", F.lit("block").alias("kind"), F.col("chain").alias("start_pos"), "end_pos"
-    )
-    return whole.unionByName(gaps).unionByName(chains).withColumnRenamed("entity", entity)
+    links = pieces.where(F.col("kind").isin("head", "more"))
+    so_far = Window.partitionBy("entity").orderBy("start_pos").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.when(F.col("kind") == "head", F.col("start_pos"))
+    chains = links.withColumn("chain", F.last(head, ignorenulls=True).over(so_far)).groupBy("entity", "chain").agg(F.max("end_pos").alias("end_pos"))
+    chains = chains.select("entity", F.lit("block").alias("kind"), F.col("chain").alias("start_pos"), "end_pos")
+    return pieces.where(F.col("kind").isin("block", "gap")).unionByName(chains).withColumnRenamed("entity", entity)

@@ -54,9 +54,12 @@ def digits(sequence: str | Column) -> Column:
 
 def packed(sequence: str | Column) -> Column:
     """The digits as longs of fifteen bases each, the last one shorter."""
-    d = digits(sequence)
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.char_length(d) - 1) / _CHUNK), F.lit(0)).cast("int"))
-    return F.transform(starts, lambda i: F.coalesce(F.conv(F.substring(d, i * _CHUNK + 1, F.lit(_CHUNK)), 16, 10).cast("bigint"), F.lit(0)))
+    # The digits are bound as the element of an array, or each chunk would derive them again.
+    def chunks(d: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.floor((F.char_length(d) - 1) / _CHUNK), F.lit(0)).cast("int"))
+        return F.transform(starts, lambda i: F.coalesce(F.conv(F.substring(d, i * _CHUNK + 1, F.lit(_CHUNK)), 16, 10).cast("bigint"), F.lit(0)))
+
+    return F.element_at(F.transform(F.array(digits(sequence)), chunks), 1)
 
 
 def _agreeing(a: Column, b: Column) -> Column:

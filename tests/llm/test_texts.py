@@ -192,3 +192,11 @@ def test_model_counts_like_one_pass(spark):
 def test_queries_run(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert df.count() == df.distinct().count() if name != "p7_ids" else df.count() > 0
+
+
+def test_copies_of_a_garbled_text_are_found(spark):
+    docs, _ = _corpus()
+    wrong = garble.garble("Всё работает быстро и очень тихо, посылка пришла без сбоя.", [("cp1251", "latin-1")])
+    df = spark.createDataFrame(docs + [(3000 + i, wrong) for i in range(300)], "doc_id long, text string")
+    got = {r.doc_id for r in garble.find_garbled(df, "doc_id", "text").collect()}
+    assert {3000 + i for i in range(300)} <= got

@@ -237,34 +237,39 @@ class Searcher:
                     parts.append(ws[s:e].tolist())
         return coded, owner, spans, parts
 
+    def shares(self, part: list[int], c: int) -> tuple[float, float]:
+        """The shares of an item's passage that a document's has: of its words in order, of its rare words."""
+        k, s, e = self.index.passages[c]
+        passage = self.index.words[k][s:e]
+        wanted = {w for w in passage if self.index.rare[w]}
+        return lcs_length(passage, part) / len(passage), len(wanted & set(part)) / len(wanted) if wanted else 0.0
+
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, float, int, int, float]]:
         """(document, item, cosine, common run, common subsequence, share of rare words) of the candidates.
 
-        The last three are of the item's most similar passage and the document's; the run is of the texts as a whole.
+        All passage pairs from the cosine on are compared. The cosine and the last two are of the pair that passes both
+        shares, or of all if none does, with the largest cosine; the run is of the texts as a whole.
         """
         coded, owner, spans, parts = self.passages_of(texts)
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        best: dict[tuple[int, int], tuple[bool, float, float, float]] = {}
         for at in range(0, len(parts), _SLICE):
             z = project(parts[at : at + _SLICE], self.index.weights, self.index.basis)
             dots = z @ self.unit.T
             cosines = dots / np.maximum(np.linalg.norm(z, axis=1)[:, None], self.least[None, :])
             for r, c in zip(*np.nonzero(cosines >= self.cosine)):
-                key, value = (owner[at + r], int(self.item[c])), (float(cosines[r, c]), at + int(r), int(c))
-                if value > best.get(key, (-1.0,)):
+                key = owner[at + r], int(self.item[c])
+                shares = self.shares(parts[at + r], int(c))
+                value = (shares[0] >= LCS_SHARE and shares[1] >= ANSWER_SHARE, float(cosines[r, c]), *shares)
+                if key not in best or value > best[key]:
                     best[key] = value
         hashed: dict[int, np.ndarray] = {}
-        for (d, k), (cosine, p, c) in best.items():
+        for (d, k), (_, cosine, common, answered) in best.items():
             if d not in hashed:
                 hashed[d] = self.hashes(coded[d])
             run = 0
             if not self.grams[k].isdisjoint(hashed[d].tolist()):
                 run = longest_run(coded[d].tolist(), self.index.words[k])
-            _, s, e = self.index.passages[c]
-            passage = self.index.words[k][s:e]
-            common = lcs_length(passage, parts[p])
-            wanted = {w for w in passage if self.index.rare[w]}
-            answered = len(wanted & set(parts[p])) / len(wanted) if wanted else 0.0
-            yield d, k, cosine, run, common / len(passage), answered
+            yield d, k, cosine, run, common, answered
 
 
 _LEAKS = "doc_id {doc}, item_id {item}, cosine double, run_words int, lcs_share double, answer_share double"
@@ -284,7 +289,7 @@ def find_leaks(
     """(doc_id, item_id, cosine, run_words, lcs_share, answer_share) per document and item that may have leaked into it.
 
     ``run_words`` is the longest run of words that both texts have, if it has ``RUN_WORDS`` or more, else 0: a copied
-    passage. Without one, rows are given if ``paraphrases`` and the most similar passage shares ``LCS_SHARE`` of its
+    passage. Without one, rows are given if ``paraphrases`` and any similar passage shares ``LCS_SHARE`` of its
     words in order and ``ANSWER_SHARE`` of its rare words and numbers. Words are compared lower-cased, whatever stands
     between them. Null, empty and short texts hold no passage. Repeated rows are reported once per id. Further columns
     are not read. Empty tables give no rows.

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows
@@ -200,3 +201,14 @@ def test_copies_of_a_garbled_text_are_found(spark):
     df = spark.createDataFrame(docs + [(3000 + i, wrong) for i in range(300)], "doc_id long, text string")
     got = {r.doc_id for r in garble.find_garbled(df, "doc_id", "text").collect()}
     assert {3000 + i for i in range(300)} <= got
+
+
+def test_every_passage_pair_of_an_item_is_checked():
+    one, two = list(range(26)), list(range(26, 52))
+    index = leaks.ItemIndex([0], [one + two], {f"w{i}": i for i in range(52)}, np.ones(52), np.eye(52, dtype=np.float32), [(0, 0, 26), (0, 26, 52)], None, None, np.ones(52, dtype=bool))
+    index.latent = leaks.project([one, two], index.weights, index.basis)
+    index.lengths = np.linalg.norm(index.latent, axis=1)
+    # The same words backwards are more alike, and a paraphrase of the other passage is the one to be found.
+    backwards, changed = [f"w{i}" for i in reversed(one)], [f"w{i}" if i % 4 else "other" for i in two]
+    found = list(leaks.Searcher(index, leaks.COSINE, paraphrases=True).search([" ".join(backwards + changed)]))
+    assert [f[:2] for f in found] == [(0, 0)] and found[0][4] >= leaks.LCS_SHARE and found[0][5] >= leaks.ANSWER_SHARE

@@ -212,3 +212,13 @@ def test_every_passage_pair_of_an_item_is_checked():
     backwards, changed = [f"w{i}" for i in reversed(one)], [f"w{i}" if i % 4 else "other" for i in two]
     found = list(leaks.Searcher(index, leaks.COSINE, paraphrases=True).search([" ".join(backwards + changed)]))
     assert [f[:2] for f in found] == [(0, 0)] and found[0][4] >= leaks.LCS_SHARE and found[0][5] >= leaks.ANSWER_SHARE
+
+
+def test_a_place_is_tried_wide_and_narrow(spark):
+    text = CLEAN[5]
+    model = charmodel.train(spark.createDataFrame([(" ".join([t, CLEAN[k]]),) for k in range(5) for t in CLEAN] + [(text,)] * 9, "t string"), "t")
+    restorer = garble.Restorer(model, 18.0, garble.Undoer())
+    wrong = text.encode("euc_jp").decode("latin-1")
+    frame = garble.EDGE * 2, wrong, garble.EDGE * 2
+    restorer.best(*frame)
+    assert restorer.best(*frame, True)[1] == text

@@ -1,7 +1,7 @@
 """Continuous coverage and gaps of the intervals of each entity.
 
 Two levels. The first works per entity and shard, a shard being 2^16 positions by interval start: intervals are
-clipped to their shard, merged there, and what reaches past the shard's end is kept as the shard's reach. The second
+put whole, not clipped, into the shard of their start and merged there; how far they go is kept as the shard's reach. The second
 stitches: the running maximum of the reaches of an entity's earlier shards tells each shard how far it is covered
 from outside, which absorbs the blocks up to there; only blocks that cross a shard's end are coalesced across shards.
 An entity of any size is thus spread over its shards. As the first step keeps one row per entity and start, combined

@@ -5,6 +5,7 @@ A layout is driver-side configuration; what it does to data are built-in string
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass, field, replace
 from enum import Enum
@@ -98,6 +99,11 @@ class Chemistry:
     description: str = ""
     files: dict[str, str] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        for path in self.files.values():
+            if not os.path.isfile(path):
+                raise ChemistryError(f"{self.name} names a file that isn't there: {path}")
+
     def __eq__(self, other: object) -> bool:
         return isinstance(other, Chemistry) and (self.n, self.parsers) == (other.n, other.parsers)
 

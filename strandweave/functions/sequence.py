@@ -7,11 +7,12 @@ operations, inside generated code.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -26,6 +27,8 @@ CODE_OF = {int(d, 16): c for c, d in zip(CODES, DIGITS)}
 ALPHABET = "^[ACGTRYSWKMBDHVN-]*$"
 STRICT = "^[ACGTacgt]*$"
 _CHUNK = 15
+#: The rows of a list of sequences that ride along as a literal.
+LIST_ROWS = 10_000
 _ONES = int("1" * _CHUNK, 16)
 
 
@@ -69,6 +72,27 @@ def _agreeing(a: Column, b: Column) -> Column:
     return F.bit_count(folded.bitwiseAND(F.lit(_ONES)))
 
 
+def fixed_packed(sequence: Column, length: int) -> list[Column]:
+    """The longs of a sequence in upper case that is known to have that length, as columns of generated code."""
+    d = F.translate(sequence, CODES, DIGITS)
+    return [F.conv(F.substring(d, at + 1, min(_CHUNK, length - at)), 16, 10).cast("bigint") for at in range(0, length, _CHUNK)]
+
+
+def packed_agreement(a: list[Column], b: list[Column]) -> Column:
+    """How many bases of two lists of packed longs share a bit."""
+    return sum((_agreeing(x, y) for x, y in zip(a, b)), F.lit(0))
+
+
+def packed_mismatch(a: list[Column], b: list[Column], length: int) -> list[Column]:
+    """For each position whether the bases of two lists of packed longs share no bit."""
+    apart = []
+    for i in range(length):
+        chunk, at = divmod(i, _CHUNK)
+        shift = 4 * (min(_CHUNK, length - chunk * _CHUNK) - 1 - at)
+        apart.append(F.shiftright(a[chunk].bitwiseAND(b[chunk]), shift).bitwiseAND(F.lit(15)) == 0)
+    return apart
+
+
 def packed_hamming(a: Column, b: Column, length: Column) -> Column:
     """The Hamming distance of two packed sequences of a common length."""
     return length - F.aggregate(F.zip_with(a, b, _agreeing), F.lit(0), lambda acc, x: acc + x)
@@ -169,3 +193,40 @@ def levenshtein(a: str | Column, b: str | Column, ambiguous: bool = True) -> Col
     # Python is given nulls where the built-in function does, so that it has nothing to do for them.
     coded = _edit_distances(F.when(~plain, a), F.when(~plain, b))
     return F.when(plain, F.levenshtein(a, b)).otherwise(coded)
+
+
+def hamming_to_list(sequence: str | Column, others: list[str]) -> Column:
+    """The Hamming distances of a sequence to a list of sequences, in the list's order; an error on different lengths."""
+    # The sequence is bound as the element of an array, so that its digits are derived once for the whole list.
+    listed = F.array(*[F.lit(o) for o in others]).cast("array<string>")
+    return F.transform(listed, lambda o: hamming(_c(sequence), o))
+
+
+def hamming_matrix(rows: DataFrame, key: str, sequence: str, others: DataFrame, other_key: str, other: str) -> DataFrame:
+    """(key, other_key, distance): every row's sequence with every one of ``others``.
+
+    ``others`` is a list of at most ``LIST_ROWS`` rows, which is checked and then sent along with the rows; larger ones
+    go in blocks of that size, each a pass over ``rows``. Null sequences have null distances.
+    """
+    named = others.select(F.col(other_key).alias("k"), F.col(other).alias("s"))
+    blocks = max(1, -(-named.count() // LIST_ROWS))
+    out = None
+    for i in range(blocks):
+        part = named if blocks == 1 else named.where(F.pmod(F.xxhash64("k", "s"), F.lit(blocks)) == i)
+        listed = [(r.k, r.s) for r in part.collect()]
+        kind = dict(named.dtypes)["k"]
+        pairs = F.from_json(F.lit(json.dumps([{"k": k, "s": s} for k, s in listed], default=str)), f"array<struct<k:{kind},s:string>>")
+        each = rows.select(F.col(key).alias("_key"), F.col(sequence).alias("_s"), F.explode(pairs).alias("_o"))
+        met = each.select(F.col("_key").alias(key), F.col("_o.k").alias(other_key), hamming("_s", "_o.s").alias("distance"))
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def hamming_pairwise(rows: DataFrame, key: str, sequence: str) -> DataFrame:
+    """(i, j, distance): the symmetric distances of all rows of a list; ``key`` is unique and ordered.
+
+    The full matrix is what is asked for; each pair is compared once, and the list goes in blocks as in ``hamming_matrix``.
+    """
+    half = hamming_matrix(rows, key, sequence, rows.select(F.col(key).alias("_j"), sequence), "_j", sequence)
+    half = half.where(F.col(key) <= F.col("_j")).select(F.col(key).alias("i"), F.col("_j").alias("j"), "distance")
+    return half.select(F.explode(F.when(F.col("i") < F.col("j"), F.array(F.struct("i", "j", "distance"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))).otherwise(F.array(F.struct("i", "j", "distance")))).alias("p")).select("p.*")

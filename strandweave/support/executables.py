@@ -123,7 +123,7 @@ class Binary:
     def __call__(self, command: list[str], *args: Any, **kwargs: Any) -> BinaryResult:
         whole = [self.path, *map(str, command)]
         self.pre_execute(whole, *args, **kwargs)
-        _, out, err = run_executable(whole, quiet=True)
+        _, out, err = run_executable(whole, stream=False)
         result = BinaryResult(whole, out, err)
         self.post_execute(whole, result, *args, **kwargs)
         return result

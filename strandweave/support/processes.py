@@ -16,15 +16,16 @@ from strandweave.support.log import logger
 
 
 def retry(function: Callable, retries: int, args: tuple = (), kwargs: dict | None = None, retry_every: float | None = None, backoff: bool = False, exceptions: tuple = (Exception,)) -> Any:
-    """The function's result; after a failure it is tried again up to ``retries`` times, the last failure is raised.
+    """The function's result; it is called up to ``retries`` times, at least once, and the last failure is raised.
 
-    Between tries ``retry_every`` seconds pass, doubling each time with ``backoff``.
+    Between calls ``retry_every`` seconds pass, doubling each time with ``backoff``.
     """
-    for attempt in range(retries + 1):
+    calls = max(1, retries)
+    for attempt in range(calls):
         try:
             return function(*args, **(kwargs or {}))
         except exceptions:
-            if attempt == retries:
+            if attempt == calls - 1:
                 raise
             if retry_every:
                 time.sleep(retry_every * (2**attempt if backoff else 1))
@@ -43,13 +44,19 @@ def retry_decorator(retries: int, **options: Any) -> Callable:
     return decorate
 
 
-def run_executable(command: list, wait: bool = True, stream: bool = True, quiet: bool = False, returncode: int = 0) -> tuple[subprocess.Popen, str, str] | subprocess.Popen:
-    """Run a command. Waiting, its output and errors are given, logged as they come with ``stream``; a return code other
-    than ``returncode`` is an error."""
+def run_executable(
+    command: list, stdin: Any = None, stdout: Any = subprocess.PIPE, stderr: Any = subprocess.PIPE, wait: bool = True, stream: bool = True, quiet: bool = False, returncode: int = 0, alias: bool = True
+) -> tuple[subprocess.Popen, str, str] | subprocess.Popen:
+    """Run a command, by default until it ends; its process, output and errors, or the process alone without ``wait``.
+
+    ``stdin``, ``stdout`` and ``stderr`` are as for a process; what doesn't come through a pipe is given as empty. Lines
+    are logged as they come with ``stream``, the command by its program's name with ``alias``, by its path without. A
+    return code other than ``returncode`` is an error. ``quiet`` logs nothing and accepts any return code.
+    """
     command = list(map(str, command))
     if not quiet:
-        logger.debug(" ".join(command))
-    process = subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, bufsize=1)
+        logger.debug(" ".join([os.path.basename(command[0]) if alias else command[0], *command[1:]]))
+    process = subprocess.Popen(command, stdin=stdin, stdout=stdout, stderr=stderr, text=wait, bufsize=1 if wait else -1)
     if not wait:
         return process
     said: dict[str, list[str]] = {"stdout": [], "stderr": []}
@@ -60,7 +67,7 @@ def run_executable(command: list, wait: bool = True, stream: bool = True, quiet:
             lines.put((name, line))
         lines.put((name, None))
 
-    readers = [threading.Thread(target=read, args=(name,), daemon=True) for name in said]
+    readers = [threading.Thread(target=read, args=(name,), daemon=True) for name in said if getattr(process, name) is not None]
     for r in readers:
         r.start()
     open_ = len(readers)
@@ -74,7 +81,7 @@ def run_executable(command: list, wait: bool = True, stream: bool = True, quiet:
             logger.debug(line.rstrip("\n"))
     process.wait()
     out, err = ("".join(said[n]) for n in ("stdout", "stderr"))
-    if process.returncode != returncode:
+    if not quiet and process.returncode != returncode:
         raise subprocess.CalledProcessError(process.returncode, command, out, err)
     return process, out, err
 

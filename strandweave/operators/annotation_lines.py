@@ -1,10 +1,10 @@
 """Annotation lines into entries, with the lines that can't be parsed set apart.
 
-Blocks of lines go through a columnar parser as a whole: one vectorised match tells which lines are well formed, one
-vectorised extraction splits them into columns, and vectorised comparisons look at the positions. The running sum of
-the failures tells whether any stretch of the block is clean; a stretch that isn't is bisected until the failing lines
-stand alone, and these are diagnosed by the strict rules, which name the first reason. Clean stretches never meet the
-strict path, and no stretch is parsed twice.
+A block of lines is parsed as a unit: one compiled pattern runs over the block's text, and its positions are compared.
+The block parses or fails, without telling where. A block that fails is bisected and its halves are parsed by the same
+parser, down to single lines; a single line that fails is diagnosed by the strict rules, which name the first reason or
+find that it is an entry after all. The stretches that parse are split into typed columns by Arrow, all stretches of a
+batch at once, and never meet the strict rules.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The lines of a block; it bounds the memory of the columnar pass.
-BLOCK_LINES = 4096
+#: The lines of a block. Among many bad lines, blocks much longer than the stretches between these only fail.
+BLOCK_LINES = 1024
 #: The rules of a line's columns.
 COLUMNS = ("chromosome", "source", "feature", "start_pos", "end_pos", "score", "strand", "frame", "attributes")
 SCORE = r"(?:\.|[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
@@ -31,14 +31,16 @@ ITEMS = rf"{ITEM}(?:;{ITEM})*"
 LARGEST = 2**63 - 1
 
 _STRICT = {n: re.compile(p) for n, p in (("score", SCORE), ("strand", STRAND), ("frame", FRAME), ("position", POSITION), ("items", ITEMS))}
-#: A line that is surely an entry, but for its positions' order. Positions of over 18 digits are left to the strict rules.
-_FILLED, _SHORT = r"[^\t]*[^\t ][^\t]*", r"[0-9]{1,18}"
+#: A line that is surely an entry, but for its positions' order, within a block's text. Nothing is tried twice
+#: (possessive), so that a block costs time in proportion to its text. Positions of over 18 digits are left to the strict rules.
+_FILLED, _SHORT = r" *+[^\t\n ][^\t\n]*+", r" *+[0-9]{1,18}+ *+"
+_SURE_ITEM = r' *+(?:[^\t\n ;"]++ ++(?:[^\t\n ;"][^\t\n;"]*+|"[^\t\n"]*+" *+))?+'
 _SURE = {
-    "chromosome": _FILLED, "source": r"[^\t]*", "feature": _FILLED, "start_pos": f" *{_SHORT} *", "end_pos": f" *{_SHORT} *",
-    "score": f" *{SCORE} *", "strand": f" *{STRAND} *", "frame": f" *{FRAME} *", "attributes": ITEMS,
+    "chromosome": _FILLED, "source": r"[^\t\n]*+", "feature": _FILLED, "start_pos": _SHORT, "end_pos": _SHORT,
+    "score": f" *+{SCORE} *+", "strand": f" *+{STRAND} *+", "frame": f" *+{FRAME} *+", "attributes": rf"{_SURE_ITEM}(?:;{_SURE_ITEM})*+",
 }
-_LINE = "^" + "\t".join(_SURE[c] for c in COLUMNS) + "$"
-_SPLIT = "^" + "\t".join(rf"(?P<{c}>[^\t]*)" for c in COLUMNS) + "$"
+_BLOCK = re.compile("(?:" + "\t".join(_SURE[c] for c in COLUMNS) + "\n)++")
+_POSITIONS = re.compile(r"^[^\t\n]*+\t[^\t\n]*+\t[^\t\n]*+\t *+([0-9]++) *+\t *+([0-9]++)", re.MULTILINE)
 _TYPES = {"start_pos": pa.int64(), "end_pos": pa.int64()}
 
 
@@ -64,70 +66,62 @@ def diagnose(line: str | None) -> str | dict:
     return row
 
 
-def parse_block(lines: pa.Array) -> tuple[pa.Table, np.ndarray]:
-    """The columns of a block's lines, and which of the lines are entries for sure; the others' columns mean nothing."""
-    formed = pc.fill_null(pc.match_substring_regex(lines, _LINE), False)
-    # Only formed lines are extracted from, then set back to their places.
-    split = pc.extract_regex(lines.filter(formed), _SPLIT)
-    named = {c: x if c == "attributes" else pc.utf8_trim(x, " ") for c, x in zip(COLUMNS, split.flatten())}
-    for c in ("start_pos", "end_pos"):
-        named[c] = pc.cast(named[c], pa.int64())
-    placed = pc.and_(pc.greater_equal(named["start_pos"], 1), pc.less_equal(named["start_pos"], named["end_pos"]))
-    sure = formed.to_numpy(zero_copy_only=False).copy()
-    places = np.cumsum(sure) - 1
-    table = pa.table(named).take(pa.array(places, mask=~sure))
-    sure[sure] = placed.to_numpy(zero_copy_only=False)
-    return table, sure
-
-
-def _strict_table(value: dict) -> pa.Table:
-    return pa.table({c: pa.array([value[c]], _TYPES.get(c, pa.string())) for c in COLUMNS})
-
-
-def isolate(lines: pa.Array) -> tuple[list[tuple[int, pa.Table]], list[tuple[int, str]]]:
-    """(offset, entries) of the parsed stretches and (offset, reason) of the lines that fail."""
-    table, sure = parse_block(lines)
-    failures = np.concatenate([[0], np.cumsum(~sure)])
-    good: list[tuple[int, pa.Table]] = []
-    bad: list[tuple[int, str]] = []
+def parse_block(lines: list[str]) -> bool:
+    """Whether a block parses: all of its lines are entries for sure."""
+    text = "\n".join(lines) + "\n"
+    # A line with a line break of its own isn't surely an entry.
+    if text.count("\n") != len(lines) or not _BLOCK.fullmatch(text):
+        return False
+    return all(1 <= int(start) <= int(end) for start, end in _POSITIONS.findall(text))
+
+
+def isolate(lines: list[str | None]) -> tuple[list[int], list[tuple[int, str | dict]]]:
+    """The offsets of the lines that parse in blocks, and (offset, reason or entry) of those that stand alone."""
+    texts = [line or "" for line in lines]
+    parsed: list[int] = []
+    alone: list[tuple[int, str | dict]] = []
     todo = [(0, len(lines))]
     while todo:
         at, end = todo.pop()
         if at == end:
             continue
-        if failures[end] == failures[at]:
-            good.append((at, table.slice(at, end - at)))
+        if parse_block(texts[at:end]):
+            parsed.extend(range(at, end))
         elif end - at > 1:
             middle = (at + end) // 2
             todo += [(middle, end), (at, middle)]
         else:
-            value = diagnose(lines[at].as_py())
-            if isinstance(value, str):
-                bad.append((at, value))
-            else:
-                good.append((at, _strict_table(value)))
-    return good, bad
+            alone.append((at, diagnose(lines[at])))
+    return parsed, alone
+
+
+def split_columns(lines: pa.Array) -> list[pa.Array]:
+    """The typed columns of lines that parse."""
+    parts = pc.split_pattern(lines, "\t").flatten()
+    columns = [parts.take(pa.array(np.arange(i, len(parts), len(COLUMNS)))) for i in range(len(COLUMNS))]
+    return [c if name == "attributes" else pc.cast(pc.utf8_trim(c, " "), _TYPES.get(name, pa.string())) for name, c in zip(COLUMNS, columns)]
 
 
 _OUT = "line_id {id}, reason string, chromosome string, source string, feature string, start_pos bigint, end_pos bigint, score string, strand string, frame string, attributes string"
 
 
 def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["line_id", "reason", *COLUMNS]
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK_LINES):
-            ids, lines = batch.column(0)[at : at + BLOCK_LINES], batch.column(1)[at : at + BLOCK_LINES]
-            lines = lines.cast(pa.string())
-            good, bad = isolate(lines)
-            if good:
-                taken = pa.concat_arrays([ids[o : o + t.num_rows] for o, t in good])
-                table = pa.concat_tables([t for _, t in good]).combine_chunks()
-                columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns]
-                yield pa.RecordBatch.from_arrays([taken, pa.nulls(len(taken), pa.string()), *columns], names=["line_id", "reason", *COLUMNS])
-            if bad:
-                bad.sort()
-                taken = ids.take(pa.array([o for o, _ in bad], pa.int64()))
-                nothing = [pa.nulls(len(bad), _TYPES.get(c, pa.string())) for c in COLUMNS]
-                yield pa.RecordBatch.from_arrays([taken, pa.array([r for _, r in bad], pa.string()), *nothing], names=["line_id", "reason", *COLUMNS])
+        ids, lines = batch.column(0), batch.column(1).cast(pa.string())
+        texts = lines.to_pylist()
+        parsed, alone = [], []
+        for at in range(0, len(texts), BLOCK_LINES):
+            whole, single = isolate(texts[at : at + BLOCK_LINES])
+            parsed += [at + offset for offset in whole]
+            alone += [(at + offset, value) for offset, value in single]
+        if parsed:
+            places = pa.array(parsed, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(places), pa.nulls(len(parsed), pa.string()), *split_columns(lines.take(places))], names=names)
+        if alone:
+            values = [v if isinstance(v, dict) else {"reason": v} for _, v in alone]
+            columns = [pa.array([v.get(c) for v in values], _TYPES.get(c, pa.string())) for c in names[1:]]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array([o for o, _ in alone], pa.int64())), *columns], names=names)
 
 
 def attribute_map(items: Column) -> Column:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: The keys that the accumulators of a task hold; a block is passed on and a new one begun beyond it.
 BLOCK_KEYS = 200_000
 PARTIAL = "key string, n_rows bigint, total bigint, first_us bigint, last_us bigint"
+#: A floating sum beyond it may be a 64-bit sum that wrapped.
+_SAFE = float(2**63 - 2**40)
 _NEVER_FIRST, _NEVER_LAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
@@ -29,14 +31,14 @@ class Accumulators:
         self._room(1024)
 
     def _room(self, size: int) -> None:
-        def grown(name: str, fill: int) -> np.ndarray:
-            new = np.full(size, fill, dtype=np.int64)
+        def grown(name: str, fill: int, dtype: type = np.int64) -> np.ndarray:
+            new = np.full(size, fill, dtype=dtype)
             if hasattr(self, name):
                 old = getattr(self, name)
                 new[: len(old)] = old
             return new
 
-        self.counts, self.totals = grown("counts", 0), grown("totals", 0)
+        self.counts, self.totals, self.rough = grown("counts", 0), grown("totals", 0), grown("rough", 0, np.float64)
         self.first, self.last = grown("first", _NEVER_FIRST), grown("last", _NEVER_LAST)
 
     def add(self, batch: pa.RecordBatch) -> None:
@@ -50,7 +52,12 @@ class Accumulators:
         at = local[encoded.indices.to_numpy(zero_copy_only=False)]
         size = len(self.counts)
         self.counts += np.bincount(at, minlength=size)
-        np.add.at(self.totals, at, batch.column(1).fill_null(0).to_numpy(zero_copy_only=False))
+        lengths = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+        np.add.at(self.totals, at, lengths)
+        # Floating sums tell a 64-bit sum that wraps: they can't be off by as much as a wrap.
+        np.add.at(self.rough, at, lengths.astype(np.float64))
+        if np.abs(self.rough).max(initial=0.0) > _SAFE:
+            raise OverflowError("a key's total is beyond 64 bits")
         timed = np.asarray(batch.column(2).is_valid().to_numpy(zero_copy_only=False), dtype=bool)
         us = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)[timed]
         np.minimum.at(self.first, at[timed], us)
@@ -89,7 +96,7 @@ def key_totals(rows: DataFrame, key: str, length: str, at: str) -> DataFrame:
 
     ``key`` is a column of strings, ``length`` of longs, ``at`` of timestamps; further columns are not read. Null keys
     make a key of their own (null). Null lengths add nothing; a key whose rows have no time has null times. Totals are
-    exact 64-bit sums (the reduction fails on an overflow rather than wrap). An empty table gives no rows.
+    exact 64-bit sums (a total within 2^40 of overflow is an error in a task, as is an overflow of the reduction). An empty table gives no rows.
     """
     thin = rows.select(
         F.col(key).cast("string").alias("key"), F.col(length).cast("bigint").alias("length"), F.unix_micros(F.col(at)).alias("us")

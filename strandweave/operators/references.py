@@ -12,7 +12,7 @@ each of which the block's runs and changes, bounded by its keys' histories, are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.keys import key_form
@@ -69,15 +69,22 @@ def key_changes(parents: DataFrame) -> DataFrame:
     return changed.where(F.col("was").isNull() | (F.col("was") != F.col("alive"))).select(*key, "us", F.col("alive").alias("there"))
 
 
+def salts_of(counts: list[tuple[tuple, int]], whole: int, slots: int) -> dict[tuple, int]:
+    """The salts of the blocks that have more than 1/``slots`` of ``whole`` references: one for each such share begun."""
+    return {block: -(-n * slots // whole) for block, n in counts if n * slots > whole}
+
+
 def _hot_blocks(refs: DataFrame) -> dict[tuple[str, str, int, int], int]:
-    """The salts of each block with more than 1/(HOT_SHARE * partitions) of the references; as many blocks at most."""
+    """The salts of each block with more than 1/(HOT_SHARE * partitions) of the references; fewer blocks than that can be.
+
+    One aggregate tells both the largest blocks, of which as many come to the driver as can be hot, and the whole.
+    """
     slots = HOT_SHARE * partitions(refs.sparkSession)
-    counts = refs.groupBy("ref_table", *_PARTS).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.sum("n").alias("n")).first().n or 0
-    # Small inputs have nothing to spread: a task of this many rows takes well under a second.
-    limit = max(whole // slots, 50_000)
-    hot = counts.where(F.col("n") > limit).collect()
-    return {(r.ref_table, r.prefix, r.width, r.block): min(slots, -(-r.n // limit)) for r in hot}
+    seen = Observation()
+    counts = refs.groupBy("ref_table", *_PARTS).agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("whole"))
+    top = counts.orderBy(F.desc("n")).limit(slots).collect()
+    whole = seen.get["whole"] or 0
+    return salts_of([((r.ref_table, r.prefix, r.width, r.block), r.n) for r in top], whole, slots)
 
 
 def orphan_references(refs: DataFrame, parents: dict[str, DataFrame], row_id: str, at: str) -> DataFrame:

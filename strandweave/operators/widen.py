@@ -1,10 +1,11 @@
 """Entity-attribute-value rows into one typed row per entity.
 
-The rows are reduced to one row per entity and attribute, written once as narrow tables (a directory per attribute,
-all bucketed by entity), read back as typed narrow tables and combined through balanced multiway outer joins. As all
-narrow tables are bucketed alike, the joins move nothing: the two shuffles of the plan are the reduction, which
-combines on the map side, and the placement by entity, which then holds a row per entity and attribute at most, so
-that an entity or attribute with a third of all rows costs no task more than its share.
+The rows are reduced to one typed row per entity and attribute and written once as narrow tables (a directory per
+attribute, all bucketed by entity). A leaf of the join tree is a multiway outer join of a few narrow tables: as they are
+bucketed alike, one grouped pass over the buckets merges them. The leaves are combined through a balanced tree of outer
+joins from the entities' spine. Nothing moves in either: the two shuffles of the plan are the reduction, which combines
+on the map side, and the placement by entity, which then holds a row per entity and attribute at most, so that an entity
+or attribute with a third of all rows costs no task more than its share.
 """
 
 from __future__ import annotations
@@ -13,16 +14,20 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import keys
-from strandweave.session import partitions, scratch_path
-
-#: Of the wide table's columns; a definition table beyond it is an error, not a silent cut.
-MAX_ATTRIBUTES = 2000
-#: The narrow tables that one leaf of the join tree combines.
-FAN_IN = 4
+from strandweave.session import delete_at_end, partitions_for, scratch_path
+
+#: The narrow tables that a leaf of the join tree merges, and the leaves that are joined to one reading of the spine.
+FAN_IN = 8
+#: The files that the narrow tables are laid out for; beyond, several attributes share a directory.
+MAX_FILES = 100_000
+#: The bytes of input to a bucket, as the optimiser estimates them; there are as many buckets as shuffle partitions at most.
+BUCKET_BYTES = 16 << 20
+#: The definitions up to which they are broadcast to the rows; beyond, Spark joins them by shuffle.
+SMALL_DEFS = 100_000
 SPINE = "spine"
 
 
@@ -37,21 +42,20 @@ class Attribute:
 
 
 def read_definitions(defs: DataFrame) -> list[Attribute]:
-    """The definitions, by key; of keys with the same plain name the first in order holds. Null keys are ignored."""
+    """The definitions, by key; of keys with the same plain name the first in order holds. Null keys are ignored.
+
+    They become the wide table's schema, which the driver holds in any case.
+    """
     rows = (
         defs.where(F.col("attr_key").isNotNull())
         .select("attr_key", "value_type", "is_multi", "missing_marker")
         .distinct()
         .orderBy("attr_key", "value_type", "is_multi", "missing_marker")
-        .limit(MAX_ATTRIBUTES + 1)
         .collect()
     )
-    if len(rows) > MAX_ATTRIBUTES:
-        raise ValueError(f"more than {MAX_ATTRIBUTES} attributes can't become columns")
     taken: dict[str, Attribute] = {}
     for row in rows:
-        name = "".join(c for c in row.attr_key.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
-        if name:
+        if name := _plain(row.attr_key):
             taken.setdefault(name, Attribute(row.attr_key, row.value_type or "string", bool(row.is_multi), row.missing_marker))
     return list(taken.values())
 
@@ -60,34 +64,27 @@ def _plain(key: str) -> str:
     return "".join(c for c in key.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def _lookup(attributes: list[Attribute], pick) -> Column:
-    pairs = [x for a in attributes for x in (F.lit(_plain(a.key)), F.lit(pick(a)))]
-    return F.create_map(*pairs)
-
-
 def reduce_values(rows: DataFrame, attributes: list[Attribute], entity: str, key: str, value: str) -> DataFrame:
-    """One row per entity and attribute.
+    """(entity, slot_no, long, double, text, items, fault): one typed row per entity and attribute, by its number.
 
-    ``said`` counts the values that say something, ``readable`` the readable ones; ``long_lo`` to ``text_hi`` are the
-    extremes of the typed values, equal where all agree, so that no list of values is ever gathered for an attribute
-    that should have one. For a multi attribute ``items`` holds the distinct readable values in order.
+    One of ``long``, ``double`` and ``text`` holds the value that all readable ones agree on; they are compared by their
+    extremes, so that no list of values is ever gathered for an attribute that should have one. For a multi attribute
+    ``items`` holds the distinct readable values in order. Rows of attributes unknown have the number -1.
     """
-    name = keys.plain_name(F.col(key))
-    named = rows.select(F.col(entity).alias("entity"), F.trim(F.col(value)).alias("value"), name.alias("name")).where(
-        F.col("entity").isNotNull()
+    spark = rows.sparkSession
+    defs = spark.createDataFrame(
+        [(_plain(a.key), i, a.value_type, a.is_multi, (a.missing_marker or "").strip(" ").lower()) for i, a in enumerate(attributes)],
+        "name string, slot_no int, kind string, multi boolean, marker string",
     )
-    known = (
-        named.withColumn("slot", F.element_at(_lookup(attributes, lambda a: a.key), F.col("name")))
-        .withColumn("kind", F.element_at(_lookup(attributes, lambda a: a.value_type), F.col("name")))
-        .withColumn("multi", F.element_at(_lookup(attributes, lambda a: a.is_multi), F.col("name")))
-        .withColumn("marker", F.element_at(_lookup(attributes, lambda a: a.missing_marker or ""), F.col("name")))
+    named = rows.select(F.col(entity).alias("entity"), F.trim(F.col(value)).alias("value"), keys.plain_name(F.col(key)).alias("name")).where(
+        F.col("entity").isNotNull()
     )
-    says = F.col("slot").isNotNull() & (F.col("value") != "") & (F.lower("value") != F.lower(F.trim(F.col("marker"))))
-    v = F.when(says, F.col("value"))
-    kind = F.col("kind")
+    known = named.join(F.broadcast(defs) if len(attributes) <= SMALL_DEFS else defs, "name", "left")
+    says = F.col("slot_no").isNotNull() & (F.col("value") != "") & (F.lower("value") != F.col("marker"))
+    v, kind = F.when(says, F.col("value")), F.col("kind")
     typed = known.select(
         "entity",
-        F.coalesce("slot", F.lit("")).alias("slot"),
+        F.coalesce("slot_no", F.lit(-1)).alias("slot_no"),
         F.coalesce("multi", F.lit(False)).alias("multi"),
         v.alias("value"),
         F.when(kind == "integer", keys.as_integer(v)).when(kind == "boolean", keys.as_boolean(v)).alias("long"),
@@ -96,29 +93,65 @@ def reduce_values(rows: DataFrame, attributes: list[Attribute], entity: str, key
     )
     readable = F.coalesce(F.col("long").cast("string"), F.col("double").cast("string"), F.col("text"))
     extremes = [f(c).alias(f"{c}_{e}") for c in ("long", "double", "text") for f, e in ((F.min, "lo"), (F.max, "hi"))]
-    items = F.array_sort(F.collect_set(F.when(F.col("multi"), readable)))
-    return typed.groupBy("entity", "slot").agg(
-        F.count("value").alias("said"), F.count(readable).alias("readable"), *extremes, items.alias("items")
-    )
-
-
-def _narrow(stored: DataFrame, number: int, attribute: Attribute) -> DataFrame:
-    """The typed narrow table of one attribute: entity, value and fault."""
-    rows = stored.where(F.col("slot_no") == number)
-    lo = {"integer": "long_lo", "boolean": "long_lo", "double": "double_lo"}.get(attribute.value_type, "text_lo")
-    hi = lo.replace("_lo", "_hi")
-    agreed = F.when((F.col("readable") > 0) & ~(F.col(lo) < F.col(hi)), F.col(lo))
-    spark_type = {"integer": "int", "boolean": "boolean", "double": "double", "date": "date"}.get(attribute.value_type, "string")
-    if attribute.is_multi:
-        value = F.transform("items", lambda x: x.cast("boolean") if spark_type == "boolean" else x.cast(spark_type))
-        value = F.when(F.size("items") > 0, value)
-        fault = F.when((F.col("said") > 0) & (F.col("readable") == 0), F.lit("unreadable"))
-    else:
-        value = agreed.cast(spark_type)
-        fault = F.when((F.col("said") > 0) & (F.col("readable") == 0), F.lit("unreadable")).when(
-            F.col(lo) < F.col(hi), F.lit("conflict")
+    reduced = typed.groupBy("entity", "slot_no").agg(
+        F.max("multi").alias("multi"), F.count("value").alias("said"), F.count(readable).alias("readable"), *extremes,
+        F.array_sort(F.collect_set(F.when(F.col("multi"), readable))).alias("items"),
+    )
+    # Only one of the three comparisons isn't null.
+    differ = F.coalesce(F.col("long_lo") < F.col("long_hi"), F.col("double_lo") < F.col("double_hi"), F.col("text_lo") < F.col("text_hi"), F.lit(False))
+    single = ~F.col("multi")
+    fault = F.when((F.col("said") > 0) & (F.col("readable") == 0), "unreadable").when(single & differ, "conflict")
+    agreed = [F.when(single & ~differ, F.col(f"{c}_lo")).alias(c) for c in ("long", "double", "text")]
+    return reduced.select("entity", "slot_no", *agreed, F.when(F.size("items") > 0, F.col("items")).alias("items"), fault.alias("fault"))
+
+
+def store_narrow(reduced: DataFrame, n_attributes: int) -> tuple[DataFrame, int]:
+    """The narrow tables, written once and read back with ``shelf``, and the number of attributes of a shelf.
+
+    A shelf is a directory; it holds one attribute, or several where there would be more than ``MAX_FILES`` files. The
+    catalog is only used to make Spark write and know the buckets: the entry is dropped at once, and the files go when
+    the application ends.
+    """
+    spark, buckets = reduced.sparkSession, partitions_for(reduced, BUCKET_BYTES)
+    per_shelf = max(1, -(-n_attributes * buckets // MAX_FILES))
+    name, path = f"strandweave_narrow_{uuid.uuid4().hex}", scratch_path(spark, SPINE)
+    delete_at_end(spark, path)
+    # The files' places must be known without the catalog.
+    tracked = "spark.sql.hive.manageFilesourcePartitions"
+    before = spark.conf.get(tracked, None)
+    spark.conf.set(tracked, "false")
+    try:
+        (
+            reduced.withColumn("shelf", F.floor(F.col("slot_no") / per_shelf).cast("int"))
+            .repartition(buckets, "entity")
+            .write.partitionBy("shelf")
+            .bucketBy(buckets, "entity")
+            .sortBy("entity")
+            .option("path", path)
+            .format("parquet")
+            .saveAsTable(name)
         )
-    return rows.select("entity", value.alias(f"value_{number}"), fault.alias(f"fault_{number}"))
+        return spark.table(name), per_shelf
+    finally:
+        spark.sql(f"drop table if exists {name}")
+        spark.conf.unset(tracked) if before is None else spark.conf.set(tracked, before)
+
+
+def _leaf(stored: DataFrame, per_shelf: int, numbers: range, attributes: list[Attribute]) -> DataFrame:
+    """The multiway outer join of a few narrow tables: entity, value_n and fault_n of each."""
+    shelves = sorted({n // per_shelf for n in numbers})
+    rows = stored.where(F.col("shelf").isin(shelves) & F.col("slot_no").between(numbers[0], numbers[-1]))
+    parts = []
+    for n in numbers:
+        a = attributes[n]
+        spark_type = {"integer": "int", "boolean": "boolean", "double": "double", "date": "date"}.get(a.value_type, "string")
+        own = F.col("slot_no") == n
+        if a.is_multi:
+            value = F.max(F.when(own, F.col("items"))).cast(f"array<{spark_type}>")
+        else:
+            value = F.max(F.when(own, F.col({"integer": "long", "boolean": "long", "double": "double"}.get(a.value_type, "text")))).cast(spark_type)
+        parts += [value.alias(f"value_{n}"), F.max(F.when(own, F.col("fault"))).alias(f"fault_{n}")]
+    return rows.groupBy("entity").agg(*parts)
 
 
 def _balanced(tables: list[DataFrame]) -> DataFrame:
@@ -139,34 +172,16 @@ def widen(rows: DataFrame, defs: DataFrame, entity: str, key: str = "attr_key",
     can only be unreadable. An attribute named like the entity column or ``faults`` gets the prefix ``attr_``. An
     empty table gives no rows.
     """
-    spark = rows.sparkSession
     attributes = read_definitions(defs)
-    buckets = partitions(spark)
     if not attributes:
         faults = F.lit(None).cast("map<string,string>").alias("faults")
         return rows.where(F.col(entity).isNotNull()).select(entity).distinct().select(entity, faults)
-    numbers = F.create_map(*[x for i, a in enumerate(attributes) for x in (F.lit(a.key), F.lit(i))])
-    reduced = reduce_values(rows, attributes, entity, key, value).withColumn(
-        "slot_no", F.coalesce(F.element_at(numbers, F.col("slot")), F.lit(-1))
-    )
-    name = f"strandweave_narrow_{uuid.uuid4().hex}"
-    (
-        reduced.drop("slot")
-        .repartition(buckets, "entity")
-        .write.partitionBy("slot_no")
-        .bucketBy(buckets, "entity")
-        .sortBy("entity")
-        .option("path", scratch_path(spark, SPINE))
-        .format("parquet")
-        .saveAsTable(name)
-    )
-    stored = spark.table(name)
-    spine = stored.select("entity").groupBy("entity").agg(F.lit(1).alias("there")).select("entity")
-    leaves = []
-    for at in range(0, len(attributes), FAN_IN):
-        narrow = [_narrow(stored, i, attributes[i]) for i in range(at, min(at + FAN_IN, len(attributes)))]
-        leaves.append(reduce(lambda left, right: left.join(right, "entity", "left"), narrow, spine))
-    wide = _balanced(leaves)
+    stored, per_shelf = store_narrow(reduce_values(rows, attributes, entity, key, value), len(attributes))
+    spine = stored.groupBy("entity").agg(F.lit(1).alias("there")).select("entity")
+    leaves = [_leaf(stored, per_shelf, range(at, min(at + FAN_IN, len(attributes))), attributes) for at in range(0, len(attributes), FAN_IN)]
+    # Spark forgets the partitioning of full outer joins; left ones from a spine of all entities have the same rows.
+    joined = [reduce(lambda left, right: left.join(right, "entity", "left"), leaves[at : at + FAN_IN], spine) for at in range(0, len(leaves), FAN_IN)]
+    wide = _balanced(joined)
     reserved = {entity.lower(), "faults"}
     columns = [
         F.col(f"value_{i}").alias(f"attr_{a.key}" if a.key.lower() in reserved else a.key) for i, a in enumerate(attributes)

@@ -75,12 +75,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; it outlives executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the path deleted when the application ends."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(hadoop).deleteOnExit(place)
 
 
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions, at least two."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def partitions_for(df: DataFrame, size: int) -> int:
+    """Partitions of about ``size`` bytes by the optimiser's estimate; at least one a core, at most the session's number."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    estimate = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    most = partitions(df.sparkSession)
+    return min(most, max(2, df.sparkSession.sparkContext.defaultParallelism, -(-estimate // size)))

@@ -210,3 +210,53 @@ def test_queries_against_sql(spark, sf, name):
 
 def test_line_pattern_of_found_reasons():
     assert re.fullmatch(annotation_lines.ITEMS, 'a "b;c" ; d e; ')
+
+
+def test_widen_leaves_no_table_and_takes_many_attributes(spark, monkeypatch):
+    monkeypatch.setattr(widen, "MAX_FILES", 8)
+    many = spark.createDataFrame([(f"a{i}", "integer", False, "-") for i in range(30)], "attr_key string, value_type string, is_multi boolean, missing_marker string")
+    data = [(e, f"A-{i}", str(e * i)) for e in range(20) for i in range(30) if (e + i) % 3] + [(99, "a1", "x"), (98, "other", "1")]
+    got = {r.line_no: r for r in widen.widen(eav(spark, data), many, "line_no").collect()}
+    assert all(got[e][f"a{i}"] == (e * i if (e + i) % 3 else None) for e in range(20) for i in range(30))
+    assert got[99].faults == {"a1": "unreadable"} and got[98].faults == {} and len(got) == 22
+    assert not [t for t in spark.catalog.listTables() if "narrow" in t.name]
+
+
+def test_blocks_are_parsed_as_units(monkeypatch):
+    seen = []
+    parse = annotation_lines.parse_block
+    monkeypatch.setattr(annotation_lines, "parse_block", lambda lines: seen.append(len(lines)) or parse(lines))
+    assert annotation_lines.isolate([GOOD] * 64) == (list(range(64)), []) and seen == [64]
+    seen.clear()
+    parsed, alone = annotation_lines.isolate([GOOD] * 20 + [None] + [GOOD] * 43)
+    assert parsed == [i for i in range(64) if i != 20] and alone == [(20, "columns")]
+    # The block, then at each level the failing half and its other half.
+    assert sorted(seen, reverse=True) == [64, 32, 32, 16, 16, 8, 8, 4, 4, 2, 2, 1, 1]
+    seen.clear()
+    assert annotation_lines.isolate([GOOD + "\n" + GOOD, GOOD])[1] == [(0, "columns")]
+
+
+def test_bad_lines_of_a_line_break(spark):
+    lines = [GOOD.replace("g;1", "g\n1"), GOOD + "\n", "\n"]
+    df = spark.createDataFrame(list(enumerate(lines)), "raw_no long, line string")
+    got = {r.raw_no: r.reason for r in annotation_lines.parse_lines(df, "raw_no", "line").collect()}
+    assert got == {i: (x if isinstance(x := annotation_lines.diagnose(line), str) else None) for i, line in enumerate(lines)}
+
+
+def test_salts_of_hot_blocks():
+    assert references.salts_of([("a", 500), ("b", 100), ("c", 25), ("d", 26)], 1000, 40) == {"a": 20, "b": 4, "d": 2}
+    assert references.salts_of([("a", 1)], 1, 8) == {"a": 8} and references.salts_of([], 0, 8) == {}
+
+
+def test_hot_blocks_are_found_at_any_size(spark):
+    data = [("genes", "G", 4, 0)] * 30 + [("genes", "G", 4, i) for i in range(1, 71)]
+    refs = spark.createDataFrame(data, "ref_table string, prefix string, width int, block long")
+    slots = references.HOT_SHARE * 4
+    assert references._hot_blocks(refs) == {("genes", "G", 4, 0): -(-30 * slots // 100)}
+    assert references._hot_blocks(refs.limit(0)) == {}
+
+
+def test_key_totals_do_not_wrap(spark):
+    df = spark.createDataFrame([("a", 2**62), ("a", 2**62), ("a", 2**62)], "k string, n long").coalesce(1).selectExpr("k", "n", "timestamp'2024-01-01' as at")
+    with pytest.raises(Exception, match="64 bits"):
+        key_totals.key_totals(df, "k", "n", "at").collect()

@@ -183,7 +183,7 @@ def test_model_counts_like_one_pass(spark):
     texts = ["abcabc", "äbc", None, "", "é" * 50]
     split = charmodel.train(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), "t")
     batch = pa.RecordBatch.from_arrays([pa.array([t for t in texts if t is not None])], names=["text"])
-    whole = {b.column(0)[0].as_py(): b for b in charmodel._count(iter([batch]))}
+    whole = {b.column(0)[0].as_py(): b for b in charmodel.counted(iter([batch.column(0).to_pylist()]))}
     for level, table in enumerate((split.tri, split.bi, split.uni, split.runs)):
         b = whole[level]
         assert table.sum() == sum(b.column(2).to_pylist()) and all(table[p] == n for p, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
@@ -221,4 +221,43 @@ def test_a_place_is_tried_wide_and_narrow(spark):
     wrong = text.encode("euc_jp").decode("latin-1")
     frame = garble.EDGE * 2, wrong, garble.EDGE * 2
     restorer.best(*frame)
-    assert restorer.best(*frame, True)[1] == text
+    assert restorer.best(*frame, True)[2] == text
+
+
+def test_margin_lies_in_the_gap_of_the_gains():
+    clean, wrong = [-np.inf] * 900 + [1.0, 3.0, 6.0, 5.5], [40.0 + i for i in range(60)]
+    assert 6 < garble.set_margin([*clean, 45.0, 90.0], wrong) < 40
+    assert garble.set_margin(clean, wrong[:5]) == garble.PRIOR_MARGIN
+    # Nearer noise and signal move it: it isn't a constant.
+    assert garble.set_margin([*clean, 20.0], wrong) > garble.set_margin([*clean, 45.0], [12.0 + i for i in range(60)])
+
+
+def test_own_part_is_left_out_of_a_group_as_of_a_text_alone(spark):
+    texts = [" ".join([CLEAN[k % 9], CLEAN[(k * 5 + 2) % 9]]) for k in range(12)]
+    model = charmodel.train(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    judge = garble.Restorer(model, 5.0, garble.Undoer())
+    whole = {i: (sums.tolist(), runs) for i, sums, runs in judge._losses(texts, list(range(12)), -1e9)}
+    for i, t in enumerate(texts):
+        for _, sums, runs in judge._losses([t], [0], -1e9):
+            assert np.allclose(sums, whole[i][0]) and runs == whole[i][1]
+
+
+def test_garbled_of_every_kind_in_a_large_corpus(spark):
+    """Every chain, wholly or in one place, also where many texts were read wrongly in the same way."""
+    rng = random.Random(9)
+    japanese = ["掃除は簡単で、音がとても静かです。", "返事も早くて助かりました。", "蓋がしっかり閉まり、四度でも漏れません。", "耐久性はまだわかりません。"]
+    greek = ["Η μέτρηση είναι σωστή και το καπάκι κλείνει καλά.", "Απάντησαν γρήγορα και ευγενικά.", "Το χρώμα είναι πιο σκούρο από τη φωτογραφία."]
+    docs = [(i, rng.choice([" ", "\n"]).join(rng.sample(CLEAN + japanese + greek, 3)) + f" {i}") for i in range(1500)]
+    truth = {}
+    for k in range(6):
+        for name, parts, written, read in (("j", japanese, "shift_jis", "latin-1"), ("e", japanese, "euc_jp", "latin-1"), ("g", greek, "iso8859-7", "latin-1"), ("u", japanese, "utf-8", "gb18030")):
+            a, b = rng.sample(parts, 2)
+            try:
+                wrong = a.encode(written).decode(read)
+            except UnicodeError:
+                continue
+            truth[len(docs)] = name
+            docs.append((len(docs), f"{wrong}\n{b} {k}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id for r in garble.find_garbled(df, "doc_id", "text").collect()}
+    assert got == set(truth), ([truth[i] for i in set(truth) - got], [docs[i] for i in got - set(truth)])

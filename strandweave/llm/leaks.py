@@ -7,21 +7,29 @@ passage of the corpus is projected there, and items whose passages have a high c
 are compared word by word: the longest common run tells copied passages, the longest common subsequence and the share
 of the passage's rare words and numbers (what an answer consists of) tell paraphrases.
 
-Items are handled in blocks of a bounded number, each a pass over the corpus, so that what is broadcast has a bound.
+No passage is multiplied with all of an item block's: two passages that share so many words as either check asks for
+share one of the rarest few of them, which an inverted index over the item passages' words finds; only these pairs get
+a cosine.
+
+Items are cut into parts of a bounded number of words, and parts are handled in blocks of a bounded number of words,
+each a pass over the corpus, so that what is broadcast has a bound whatever the items.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.session import delete_at_end, scratch_path
+
 #: Fixed value: a word is a maximal run of letters and digits.
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: The words that a copied passage has at least; a passage has twice as many.
@@ -31,13 +39,17 @@ RANK, EXTRA, POWER = 256, 16, 2
 #: The cosine from which an item is a candidate, and the length, as a share of the item passage's, under which a
 #: projection counts as of that length (a passage of few weighty words is like anything).
 COSINE, SHORT = 0.25, 0.5
-#: The items of a block, and the characters of its longest text.
-BLOCK_ITEMS, ITEM_CHARS = 4000, 1_000_000
+#: The words of a part of an item, of which the next part repeats a passage's, and the words that a block aims at.
+PART_WORDS, BLOCK_WORDS = 26_000, 1_000_000
 #: A paraphrase shares this part of a passage's words in order, and this part of its rare words.
 LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
 #: A word is rare in up to so many documents, or one in a thousand.
 RARE = 5
 _SLICE = 512
+#: The words that a task counts before it passes the counts on.
+COUNTED_WORDS = 200_000
+#: The spellings that a task remembers the number of; it starts anew beyond them.
+REMEMBERED = 500_000
 
 
 def words(text: str) -> list[str]:
@@ -50,6 +62,12 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(s, min(s + 2 * RUN_WORDS, n)) for s in range(0, max(n - RUN_WORDS, 0) + 1, RUN_WORDS)] if n else []
 
 
+def parts_of(ws: list[str]) -> list[list[str]]:
+    """The words of an item in parts that hold all of its passages; most items are one part."""
+    step = PART_WORDS - RUN_WORDS
+    return [ws[s : s + PART_WORDS] for s in range(0, max(len(ws) - RUN_WORDS, 1), step)]
+
+
 def lcs_length(a: list[int], b: list[int]) -> int:
     """The length of the longest common subsequence, by bit-parallel dynamic programming."""
     at: dict[int, int] = {}
@@ -89,6 +107,9 @@ class ItemIndex:
     latent: np.ndarray
     lengths: np.ndarray
     rare: np.ndarray
+    tokens: dict[tuple[int, int], int] = field(default_factory=dict)
+    starts: np.ndarray | None = None
+    holders: np.ndarray | None = None
 
 
 def _vectors(parts: list[list[int]], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,45 +177,75 @@ def latent_basis(passages: DataFrame, weights: np.ndarray, rank: int = RANK, see
     return (basis @ vectors[:, leading]).astype(np.float32)
 
 
-def _document_frequencies(docs: DataFrame, numbers: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many documents each known word occurs, and the number of documents; over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+def word_frequencies(docs: DataFrame) -> DataFrame:
+    """(word, n): in how many documents each word occurs, over all documents; the null word has their number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.value
-        total = np.zeros(len(numbers) + 1, dtype=np.int64)
+        seen: Counter = Counter()
+        given = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                known = {numbers[w] for w in set(words(text)) if w in numbers}
-                total[list(known)] += 1
-            total[-1] += batch.num_rows
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["word", "n"])
-
-    sums = docs.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(len(numbers) + 1, dtype=np.int64)
-    total[sums.column("word").to_numpy()] = sums.column("n").to_numpy()
-    return total[:-1], int(total[-1])
-
-
-def build_index(docs: DataFrame, items: list[tuple], rank: int = RANK) -> ItemIndex | None:
-    """The index of a block of (id, text); null if none has as many words as a copied passage."""
-    split = [(i, w) for i, w in ((i, words(t)) for i, t in items if t) if len(w) >= RUN_WORDS]
-    if not split:
-        return None
+                seen.update({w.lower() for w in set(WORD.findall(text))})
+                if len(seen) > COUNTED_WORDS:
+                    yield given()
+                    seen.clear()
+            seen[None] += batch.num_rows
+        yield given()
+
+    return docs.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def item_parts(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(id, block_key, words): the items' parts with at least as many words as a copied passage."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                own = [p for p in parts_of(words(text)) if len(p) >= RUN_WORDS]
+                at += [row] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.list_(pa.string()))], names=["id", "words"])
+
+    texts = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).distinct()
+    return texts.mapInArrow(cut, f"id {dict(texts.dtypes)['id']}, words array<string>").withColumn("block_key", F.xxhash64("id", "words"))
+
+
+def build_index(spark: SparkSession, parts: list[tuple], frequencies: dict[str, int], n: int, rank: int = RANK) -> ItemIndex:
+    """The index of a block of (id, words), with the document frequencies of its words and the number of documents."""
     numbers: dict[str, int] = {}
-    coded = [[numbers.setdefault(w, len(numbers)) for w in ws] for _, ws in split]
-    frequency, n = _document_frequencies(docs, numbers)
+    coded = [[numbers.setdefault(w, len(numbers)) for w in ws] for _, ws in parts]
+    frequency = np.array([frequencies.get(w, 0) for w in numbers], dtype=np.int64)
     weights = np.log((1.0 + n) / (1.0 + frequency)) + 0.05
     passages = [(k, s, e) for k, ws in enumerate(coded) for s, e in windows(len(ws))]
-    parts = [coded[k][s:e] for k, s, e in passages]
-    spark = docs.sparkSession
-    frame = spark.createDataFrame(pa.table({"words": pa.array(parts, pa.list_(pa.int64()))})).repartition(max(1, len(parts) // 2000))
+    texts = [coded[k][s:e] for k, s, e in passages]
+    frame = spark.createDataFrame(pa.table({"words": pa.array(texts, pa.list_(pa.int64()))})).repartition(max(1, len(texts) // 2000))
     basis = latent_basis(frame, weights, rank)
-    latent = project(parts, weights, basis)
+    latent = project(texts, weights, basis)
     rare = frequency <= max(RARE, n // 1000)
     rare |= np.array([w.isdigit() for w in numbers])
-    return ItemIndex([i for i, _ in split], coded, numbers, weights, basis, passages, latent, np.linalg.norm(latent, axis=1), rare)
+    return ItemIndex([i for i, _ in parts], coded, numbers, weights, basis, passages, latent, np.linalg.norm(latent, axis=1), rare, *inverted(texts))
+
+
+def occurrences(passage: list[int]) -> list[tuple[int, int]]:
+    """The words of a passage, each with how often it came before, so that no two are equal; unknown ones left out."""
+    seen: Counter = Counter()
+    out = []
+    for w in passage:
+        if w >= 0:
+            out.append((w, seen[w]))
+            seen[w] += 1
+    return out
+
+
+def inverted(passages: list[list[int]]) -> tuple[dict[tuple[int, int], int], np.ndarray, np.ndarray]:
+    """The number of each word occurrence, and for each number where its passages begin, and the passages."""
+    tokens: dict[tuple[int, int], int] = {}
+    held = [[tokens.setdefault(t, len(tokens)) for t in occurrences(p)] for p in passages]
+    token = np.array([t for ts in held for t in ts], dtype=np.int64)
+    owner = np.repeat(np.arange(len(held)), [len(ts) for ts in held])
+    order = np.argsort(token, kind="stable")
+    return tokens, np.searchsorted(token[order], np.arange(len(tokens) + 1)), owner[order]
 
 
 class Searcher:
@@ -208,7 +259,11 @@ class Searcher:
         self.item = np.array([k for k, _, _ in index.passages])
         # 13 words as one number: the sum of the words' numbers times powers of an odd base, modulo 2^64.
         self.powers = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(RUN_WORDS)], dtype=np.uint64)
-        self.grams = [set(self.hashes(np.array(ws)).tolist()) for ws in index.words]
+        self.grams: dict[int, set[int]] = {}
+        self.shared = math.ceil(LCS_SHARE * RUN_WORDS) if paraphrases else RUN_WORDS
+        self.spelled: dict[str, int] = {}
+        if index.starts is None:
+            index.tokens, index.starts, index.holders = inverted([index.words[k][s:e] for k, s, e in index.passages])
 
     def hashes(self, coded: np.ndarray) -> np.ndarray:
         """A number for every 13 consecutive words."""
@@ -221,10 +276,18 @@ class Searcher:
         A copied passage has 13 consecutive words that items have, a paraphrase so many words of them that the shortest
         passage's share is reached; passages without either hold neither.
         """
-        numbers = self.index.numbers
+        numbers, spelled = self.index.numbers, self.spelled
         coded, owner, spans, parts = [], [], [], []
         for d, text in enumerate(texts):
-            ws = np.array([numbers.get(w, -1) for w in words(text)], dtype=np.int64)
+            found = WORD.findall(text)
+            try:
+                own = [spelled[w] for w in found]
+            except KeyError:
+                if len(spelled) > REMEMBERED:
+                    spelled.clear()
+                spelled.update((w, numbers.get(w.lower(), -1)) for w in set(found) if w not in spelled)
+                own = [spelled[w] for w in found]
+            ws = np.array(own, dtype=np.int64)
             coded.append(ws)
             if len(ws) < RUN_WORDS:
                 continue
@@ -244,31 +307,44 @@ class Searcher:
         wanted = {w for w in passage if self.index.rare[w]}
         return lcs_length(passage, part) / len(passage), len(wanted & set(part)) / len(wanted) if wanted else 0.0
 
-    def search(self, texts: list[str]) -> Iterator[tuple[int, int, float, int, int, float]]:
+    def alike(self, part: list[int]) -> np.ndarray:
+        """The item passages that may share ``shared`` words with a passage: those with one of its rarest words.
+
+        Of n words, n - shared + 1 can't all be among those that aren't shared.
+        """
+        index = self.index
+        known = [t for o in occurrences(part) if (t := index.tokens.get(o)) is not None]
+        known.sort(key=lambda t: index.starts[t + 1] - index.starts[t])
+        rarest = known[: max(len(known) - self.shared + 1, 0)]
+        return np.unique(np.concatenate([index.holders[index.starts[t] : index.starts[t + 1]] for t in rarest])) if rarest else np.zeros(0, dtype=np.int64)
+
+    def search(self, texts: list[str]) -> Iterator[tuple[int, int, float, int, float, float]]:
         """(document, item, cosine, common run, common subsequence, share of rare words) of the candidates.
 
-        All passage pairs from the cosine on are compared. The cosine and the last two are of the pair that passes both
-        shares, or of all if none does, with the largest cosine; the run is of the texts as a whole.
+        All passage pairs that share enough words are compared from the cosine on. The cosine and the last two are of
+        the pair that passes both shares, or of all if none does, with the largest cosine; the run is of the texts as a whole.
         """
         coded, owner, spans, parts = self.passages_of(texts)
         best: dict[tuple[int, int], tuple[bool, float, float, float]] = {}
         for at in range(0, len(parts), _SLICE):
             z = project(parts[at : at + _SLICE], self.index.weights, self.index.basis)
-            dots = z @ self.unit.T
-            cosines = dots / np.maximum(np.linalg.norm(z, axis=1)[:, None], self.least[None, :])
-            for r, c in zip(*np.nonzero(cosines >= self.cosine)):
-                key = owner[at + r], int(self.item[c])
-                shares = self.shares(parts[at + r], int(c))
-                value = (shares[0] >= LCS_SHARE and shares[1] >= ANSWER_SHARE, float(cosines[r, c]), *shares)
-                if key not in best or value > best[key]:
-                    best[key] = value
-        hashed: dict[int, np.ndarray] = {}
+            lengths = np.linalg.norm(z, axis=1)
+            for r in range(len(z)):
+                near = self.alike(parts[at + r])
+                cosines = (self.unit[near] @ z[r]) / np.maximum(lengths[r], self.least[near])
+                for c, cosine in zip(near[cosines >= self.cosine].tolist(), cosines[cosines >= self.cosine].tolist()):
+                    key = owner[at + r], int(self.item[c])
+                    shares = self.shares(parts[at + r], c)
+                    value = (shares[0] >= LCS_SHARE and shares[1] >= ANSWER_SHARE, cosine, *shares)
+                    if key not in best or value > best[key]:
+                        best[key] = value
+        hashed: dict[int, list[int]] = {}
         for (d, k), (_, cosine, common, answered) in best.items():
             if d not in hashed:
-                hashed[d] = self.hashes(coded[d])
-            run = 0
-            if not self.grams[k].isdisjoint(hashed[d].tolist()):
-                run = longest_run(coded[d].tolist(), self.index.words[k])
+                hashed[d] = self.hashes(coded[d]).tolist()
+            if k not in self.grams:
+                self.grams[k] = set(self.hashes(np.array(self.index.words[k])).tolist())
+            run = 0 if self.grams[k].isdisjoint(hashed[d]) else longest_run(coded[d].tolist(), self.index.words[k])
             yield d, k, cosine, run, common, answered
 
 
@@ -289,25 +365,34 @@ def find_leaks(
     """(doc_id, item_id, cosine, run_words, lcs_share, answer_share) per document and item that may have leaked into it.
 
     ``run_words`` is the longest run of words that both texts have, if it has ``RUN_WORDS`` or more, else 0: a copied
-    passage. Without one, rows are given if ``paraphrases`` and any similar passage shares ``LCS_SHARE`` of its
-    words in order and ``ANSWER_SHARE`` of its rare words and numbers. Words are compared lower-cased, whatever stands
-    between them. Null, empty and short texts hold no passage. Repeated rows are reported once per id. Further columns
-    are not read. Empty tables give no rows.
+    passage; of an item of more than ``PART_WORDS`` words it is the longest within one part. Without one, rows are given
+    if ``paraphrases`` and any similar passage shares ``LCS_SHARE`` of its words in order and ``ANSWER_SHARE`` of its
+    rare words and numbers. Words are compared lower-cased, whatever stands between them. Null, empty and short texts
+    hold no passage. Repeated rows are reported once per id. Further columns are not read. Empty tables give no rows.
     """
     spark = docs.sparkSession
     texts = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_text).alias("text"))
-    wanted = items.where(F.col(item_text).isNotNull() & (F.char_length(item_text) <= ITEM_CHARS)).select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).distinct()
-    if not items.where(F.char_length(item_text) > ITEM_CHARS).isEmpty():
-        raise ValueError(f"items of more than {ITEM_CHARS} characters can't be broadcast; cut them into pieces first")
-    blocks = max(1, -(-wanted.count() // BLOCK_ITEMS))
+    parts = item_parts(items, item_id, item_text)
     thin = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
-    schema = _LEAKS.format(doc=dict(thin.dtypes)["doc_id"], item=dict(wanted.dtypes)["id"])
+    schema = _LEAKS.format(doc=dict(thin.dtypes)["doc_id"], item=dict(parts.dtypes)["id"])
     found = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        own = wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id", "text").collect()
-        index = build_index(texts, [(r.id, r.text) for r in own], rank)
-        if index is not None:
-            found = found.unionByName(thin.mapInArrow(_searcher(spark.sparkContext.broadcast(index), cosine, paraphrases), schema))
+    whole = parts.agg(F.sum(F.size("words")).alias("n")).first().n or 0
+    blocks = -(-whole // BLOCK_WORDS)
+    if blocks:
+        # One pass over the corpus counts the items' words for all blocks.
+        vocabulary = parts.select(F.pmod("block_key", F.lit(blocks)).alias("block"), F.explode("words").alias("word")).distinct()
+        known = vocabulary.select("word").distinct().withColumn("known", F.lit(True))
+        path = scratch_path(spark, "frequencies")
+        delete_at_end(spark, path)
+        word_frequencies(texts).join(known, "word", "left").where("word is null or known").select("word", "n").write.parquet(path)
+        frequencies = spark.read.parquet(path)
+        n = frequencies.where("word is null").agg(F.sum("n").alias("n")).first().n or 0
+        for block in range(blocks):
+            own = parts.where(F.pmod("block_key", F.lit(blocks)) == block).select("id", "words").orderBy("id", "words").collect()
+            if own:
+                of_words = frequencies.join(vocabulary.where(F.col("block") == block), "word").select("word", "n").collect()
+                index = build_index(spark, [(r.id, r.words) for r in own], {r.word: r.n for r in of_words}, n, rank)
+                found = found.unionByName(thin.mapInArrow(_searcher(spark.sparkContext.broadcast(index), cosine, paraphrases), schema))
     strongest = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("run_words", "cosine", "lcs_share", "answer_share")).alias("m"))
     return strongest.select(
         F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "m.cosine", "m.run_words", "m.lcs_share", "m.answer_share"

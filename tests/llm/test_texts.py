@@ -113,7 +113,7 @@ def test_leaks_against_brute_force(spark, seed):
 
 
 def test_leaks_in_blocks_and_paraphrases(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 50)
     base = "the keeper of Morvel counted 38 copper lamps before the northern storm closed the road to Jondax and wrote nothing down afterwards"
     other = [f"item{k} " + " ".join(f"z{k}x{j}" for j in range(25)) for k in range(5)]
     items = spark.createDataFrame([(0, base), *[(k + 1, t) for k, t in enumerate(other)]], "eval_id long, text string")
@@ -261,3 +261,34 @@ def test_garbled_of_every_kind_in_a_large_corpus(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id for r in garble.find_garbled(df, "doc_id", "text").collect()}
     assert got == set(truth), ([truth[i] for i in set(truth) - got], [docs[i] for i in got - set(truth)])
+
+
+def test_long_items_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "PART_WORDS", 52)
+    rng = random.Random(3)
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for k, n in enumerate([500, 14, 13, 12, 53, 65, 66, 200])]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        docs += [(1000 * k + s, "and then " + " ".join(w[s : s + 13]) + " at last") for s in range(0, max(len(w) - 12, 0), 3)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "eval_id long, text string")
+    got = leaks.find_leaks(d, i, "doc_id", "text", "eval_id", "text", paraphrases=False)
+    assert {(r.doc_id, r.eval_id) for r in got.collect()} == _copied(docs, items)
+
+
+def test_inverted_index_finds_all_pairs_that_share_enough():
+    rng = random.Random(8)
+    passages = [[rng.choice([rng.randrange(12), rng.randrange(200)]) for _ in range(rng.randrange(13, 27))] for _ in range(300)]
+    index = leaks.ItemIndex([0], [sum(passages, [])], {f"w{i}": i for i in range(200)}, np.ones(200), np.eye(200, dtype=np.float32), [], None, None, np.ones(200, dtype=bool))
+    at = np.cumsum([0, *map(len, passages)]).tolist()
+    index.passages = [(0, s, e) for s, e in zip(at, at[1:])]
+    index.latent = leaks.project(passages, index.weights, index.basis)
+    index.lengths = np.linalg.norm(index.latent, axis=1)
+    for paraphrases in (False, True):
+        searcher = leaks.Searcher(index, 0.25, paraphrases=paraphrases)
+        for p in passages[:60]:
+            part = [w if rng.random() < 0.7 else -1 for w in p]
+            near = set(searcher.alike(part).tolist())
+            for k, other in enumerate(passages):
+                shared = len(set(leaks.occurrences(part)) & set(leaks.occurrences(other)))
+                assert shared < searcher.shared or k in near

@@ -292,3 +292,14 @@ def test_inverted_index_finds_all_pairs_that_share_enough():
             for k, other in enumerate(passages):
                 shared = len(set(leaks.occurrences(part)) & set(leaks.occurrences(other)))
                 assert shared < searcher.shared or k in near
+
+
+def test_a_model_is_the_same_after_it_was_sent(spark):
+    import pickle
+
+    model = charmodel.train(spark.createDataFrame([(t,) for t in CLEAN * 3], "t string"), "t")
+    dense = charmodel.CharModel(*[np.arange(1 << b, dtype=np.int64) * (1 << 30) for b in charmodel.BITS])
+    for m in (model, dense):
+        again = pickle.loads(pickle.dumps(m))
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip((m.tri, m.bi, m.uni, m.runs), (again.tri, again.bi, again.uni, again.runs))) and again.total == m.total
+    assert len(pickle.dumps(model)) < 1_000_000

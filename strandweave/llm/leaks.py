@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ PART_WORDS, BLOCK_WORDS = 26_000, 1_000_000
 LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
 #: A word is rare in up to so many documents, or one in a thousand.
 RARE = 5
-_SLICE = 512
+_SLICE, _PAIRS = 2048, 32768
 #: The words that a task counts before it passes the counts on.
 COUNTED_WORDS = 200_000
 #: The spellings that a task remembers the number of; it starts anew beyond them.
@@ -107,7 +107,7 @@ class ItemIndex:
     latent: np.ndarray
     lengths: np.ndarray
     rare: np.ndarray
-    tokens: dict[tuple[int, int], int] = field(default_factory=dict)
+    codes: np.ndarray | None = None
     starts: np.ndarray | None = None
     holders: np.ndarray | None = None
 
@@ -227,32 +227,31 @@ def build_index(spark: SparkSession, parts: list[tuple], frequencies: dict[str,
     return ItemIndex([i for i, _ in parts], coded, numbers, weights, basis, passages, latent, np.linalg.norm(latent, axis=1), rare, *inverted(texts))
 
 
-def occurrences(passage: list[int]) -> list[tuple[int, int]]:
-    """The words of a passage, each with how often it came before, so that no two are equal; unknown ones left out."""
-    seen: Counter = Counter()
-    out = []
-    for w in passage:
-        if w >= 0:
-            out.append((w, seen[w]))
-            seen[w] += 1
-    return out
+def occurrences(passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, code) of the words of passages, sorted: word and how often it came before in one number, so that no two
+    of a passage are equal; unknown words are left out."""
+    row, word = np.repeat(np.arange(len(passages)), [len(p) for p in passages]), np.concatenate([*passages, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    row, word = row[word >= 0], word[word >= 0]
+    order = np.lexsort((word, row))
+    row, word = row[order], word[order]
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+    before = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
+    return row, word * (2 * RUN_WORDS) + before
 
 
-def inverted(passages: list[list[int]]) -> tuple[dict[tuple[int, int], int], np.ndarray, np.ndarray]:
-    """The number of each word occurrence, and for each number where its passages begin, and the passages."""
-    tokens: dict[tuple[int, int], int] = {}
-    held = [[tokens.setdefault(t, len(tokens)) for t in occurrences(p)] for p in passages]
-    token = np.array([t for ts in held for t in ts], dtype=np.int64)
-    owner = np.repeat(np.arange(len(held)), [len(ts) for ts in held])
-    order = np.argsort(token, kind="stable")
-    return tokens, np.searchsorted(token[order], np.arange(len(tokens) + 1)), owner[order]
+def inverted(passages: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted codes of the words of passages, for each where its passages begin, and the passages."""
+    owner, code = occurrences([np.array(p, dtype=np.int64) for p in passages])
+    order = np.argsort(code, kind="stable")
+    codes = np.unique(code)
+    return codes, np.searchsorted(code[order], np.append(codes, np.iinfo(np.int64).max)), owner[order]
 
 
 class Searcher:
     """Compares documents with the items of an index."""
 
     def __init__(self, index: ItemIndex, cosine: float, short: float = SHORT, paraphrases: bool = False) -> None:
-        self.index, self.cosine = index, cosine
+        self.index, self.cosine, self.paraphrases = index, cosine, paraphrases
         self.least_known = math.ceil(LCS_SHARE * RUN_WORDS) if paraphrases else 2 * RUN_WORDS + 1
         lengths = np.maximum(index.lengths, 1e-9)
         self.unit, self.least = index.latent / lengths[:, None], short * lengths
@@ -263,14 +262,14 @@ class Searcher:
         self.shared = math.ceil(LCS_SHARE * RUN_WORDS) if paraphrases else RUN_WORDS
         self.spelled: dict[str, int] = {}
         if index.starts is None:
-            index.tokens, index.starts, index.holders = inverted([index.words[k][s:e] for k, s, e in index.passages])
+            index.codes, index.starts, index.holders = inverted([index.words[k][s:e] for k, s, e in index.passages])
 
     def hashes(self, coded: np.ndarray) -> np.ndarray:
         """A number for every 13 consecutive words."""
         runs = np.lib.stride_tricks.sliding_window_view(coded.astype(np.uint64) + np.uint64(1), RUN_WORDS)
         return (runs * self.powers).sum(axis=1, dtype=np.uint64)
 
-    def passages_of(self, texts: list[str]) -> tuple[list[np.ndarray], list[int], list[tuple[int, int]], list[list[int]]]:
+    def passages_of(self, texts: list[str]) -> tuple[list[np.ndarray], list[int], list[tuple[int, int]], list[np.ndarray]]:
         """The documents' words as numbers, and the passages worth a projection: document, range, words.
 
         A copied passage has 13 consecutive words that items have, a paraphrase so many words of them that the shortest
@@ -292,12 +291,14 @@ class Searcher:
             if len(ws) < RUN_WORDS:
                 continue
             known = np.concatenate([[0], np.cumsum(ws >= 0)])
-            full = known[RUN_WORDS:] - known[:-RUN_WORDS] == RUN_WORDS
+            full = np.concatenate([[0], np.cumsum(known[RUN_WORDS:] - known[:-RUN_WORDS] == RUN_WORDS)])
+            if not full[-1] and known[-1] < self.least_known:
+                continue
             for s, e in windows(len(ws)):
-                if full[s : e - RUN_WORDS + 1].any() or known[e] - known[s] >= self.least_known:
+                if full[e - RUN_WORDS + 1] > full[s] or known[e] - known[s] >= self.least_known:
                     owner.append(d)
                     spans.append((s, e))
-                    parts.append(ws[s:e].tolist())
+                    parts.append(ws[s:e])
         return coded, owner, spans, parts
 
     def shares(self, part: list[int], c: int) -> tuple[float, float]:
@@ -307,16 +308,25 @@ class Searcher:
         wanted = {w for w in passage if self.index.rare[w]}
         return lcs_length(passage, part) / len(passage), len(wanted & set(part)) / len(wanted) if wanted else 0.0
 
-    def alike(self, part: list[int]) -> np.ndarray:
-        """The item passages that may share ``shared`` words with a passage: those with one of its rarest words.
+    def alike(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item passage) of the pairs that may share ``shared`` words: those that share one of the passage's rarest.
 
         Of n words, n - shared + 1 can't all be among those that aren't shared.
         """
         index = self.index
-        known = [t for o in occurrences(part) if (t := index.tokens.get(o)) is not None]
-        known.sort(key=lambda t: index.starts[t + 1] - index.starts[t])
-        rarest = known[: max(len(known) - self.shared + 1, 0)]
-        return np.unique(np.concatenate([index.holders[index.starts[t] : index.starts[t + 1]] for t in rarest])) if rarest else np.zeros(0, dtype=np.int64)
+        row, code = occurrences(parts)
+        at = np.minimum(np.searchsorted(index.codes, code), len(index.codes) - 1)
+        row, at = row[index.codes[at] == code], at[index.codes[at] == code]
+        often = index.starts[at + 1] - index.starts[at]
+        order = np.lexsort((often, row))
+        row, at, often = row[order], at[order], often[order]
+        n = np.bincount(row, minlength=len(parts))
+        rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        rarest = rank < (n - self.shared + 1)[row]
+        row, at, often = row[rarest], at[rarest], often[rarest]
+        step = np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
+        met = np.unique(np.repeat(row, often) * len(index.passages) + index.holders[np.repeat(index.starts[at], often) + step])
+        return np.divmod(met, len(index.passages))
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, float, int, float, float]]:
         """(document, item, cosine, common run, common subsequence, share of rare words) of the candidates.
@@ -327,15 +337,21 @@ class Searcher:
         coded, owner, spans, parts = self.passages_of(texts)
         best: dict[tuple[int, int], tuple[bool, float, float, float]] = {}
         for at in range(0, len(parts), _SLICE):
-            z = project(parts[at : at + _SLICE], self.index.weights, self.index.basis)
+            rows, near = self.alike(parts[at : at + _SLICE])
+            if not len(rows):
+                continue
+            # Only passages with a pair are projected.
+            used, rows = np.unique(rows, return_inverse=True)
+            z = project([parts[at + u].tolist() for u in used], self.index.weights, self.index.basis)
             lengths = np.linalg.norm(z, axis=1)
-            for r in range(len(z)):
-                near = self.alike(parts[at + r])
-                cosines = (self.unit[near] @ z[r]) / np.maximum(lengths[r], self.least[near])
-                for c, cosine in zip(near[cosines >= self.cosine].tolist(), cosines[cosines >= self.cosine].tolist()):
-                    key = owner[at + r], int(self.item[c])
-                    shares = self.shares(parts[at + r], c)
-                    value = (shares[0] >= LCS_SHARE and shares[1] >= ANSWER_SHARE, cosine, *shares)
+            for some in range(0, len(rows), _PAIRS):
+                r, c = rows[some : some + _PAIRS], near[some : some + _PAIRS]
+                cosines = np.einsum("ij,ij->i", self.unit[c], z[r]) / np.maximum(lengths[r], self.least[c])
+                for i in np.flatnonzero(cosines >= self.cosine):
+                    part, k = parts[at + used[r[i]]].tolist(), int(c[i])
+                    key = owner[at + used[r[i]]], int(self.item[k])
+                    shares = self.shares(part, k) if self.paraphrases else (0.0, 0.0)
+                    value = (shares[0] >= LCS_SHARE and shares[1] >= ANSWER_SHARE, float(cosines[i]), *shares)
                     if key not in best or value > best[key]:
                         best[key] = value
         hashed: dict[int, list[int]] = {}

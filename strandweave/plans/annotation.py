@@ -123,7 +123,19 @@ def cut_segments(genome: DataFrame, segments: DataFrame, chromosome: str = "chro
     return joined.drop("_id")
 
 
-def _header(name: Column, *pairs: tuple[str, Column]) -> Column:
+def header_parts(header: Column) -> tuple[Column, Column]:
+    """Name and attributes of a FASTA header with its mark; only a blank ends the name, of repeated attributes the last holds."""
+    h = F.trim(header)
+    name = F.substring_index(F.substring(h, F.lit(2), F.char_length(h)), " ", 1)
+    rest = F.when(F.instr(h, " ") > 0, F.substring(h, F.instr(h, " ") + 1, F.char_length(h))).otherwise("")
+    found = [F.regexp_extract_all(rest, F.lit(r"(\S+?):(\S*)"), F.lit(i)) for i in (1, 2)]
+    pairs = F.reverse(F.arrays_zip(found[0].alias("k"), found[1].alias("v")))
+    names = F.transform(pairs, lambda p: p["k"])
+    return name, F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1))
+
+
+def make_header(name: Column, *pairs: tuple[str, Column]) -> Column:
+    """A FASTA header of a name and attributes."""
     return F.concat_ws(" ", F.concat(F.lit(">"), name), *[F.concat(F.lit(f"{k}:"), v.cast("string")) for k, v in pairs])
 
 
@@ -141,7 +153,7 @@ def cdna(genome: DataFrame, genes: DataFrame, transcripts: DataFrame, exons: Dat
     parts = cut_segments(genome, exons.join(about.select("transcript_id", "chromosome"), "transcript_id"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "sequence"))), lambda x: x["sequence"])
     whole = parts.groupBy("transcript_id").agg(F.array_join(ordered, "").alias("sequence")).where("sequence <> ''")
-    header = _header(F.col("transcript_id"), ("gene_id", F.col("gene_id")), ("gene_name", F.col("gene_name")), ("transcript_name", F.col("transcript_name")), *_place())
+    header = make_header(F.col("transcript_id"), ("gene_id", F.col("gene_id")), ("gene_name", F.col("gene_name")), ("transcript_name", F.col("transcript_name")), *_place())
     return whole.join(about, "transcript_id").select("chromosome", "first_seen", "transcript_id", header.alias("header"), _stranded().alias("sequence"))
 
 
@@ -156,12 +168,12 @@ def introns_flanked(genome: DataFrame, genes: DataFrame, transcripts: DataFrame,
     numbered = wide.withColumn("intron_no", F.row_number().over(Window.partitionBy("transcript_id").orderBy("start")))
     parts = cut_segments(genome, numbered.join(about.select("transcript_id", "chromosome"), "transcript_id")).select("transcript_id", "intron_no", "sequence")
     name = F.concat(F.col("transcript_id"), F.lit("-I."), F.col("intron_no").cast("string"))
-    header = _header(name, ("gene_id", F.col("gene_id")), ("gene_name", F.col("gene_name")), ("transcript_name", F.col("transcript_name")), *_place())
+    header = make_header(name, ("gene_id", F.col("gene_id")), ("gene_name", F.col("gene_name")), ("transcript_name", F.col("transcript_name")), *_place())
     return parts.join(about, "transcript_id").select("chromosome", "first_seen", "transcript_id", "intron_no", header.alias("header"), _stranded().alias("sequence"))
 
 
 def nascent(genome: DataFrame, genes: DataFrame, suffix: str = "") -> DataFrame:
     """(chromosome, first_seen, gene_id, header, sequence): each gene's whole segment; empty ones left out."""
     parts = cut_segments(genome, genes).where("sequence <> ''")
-    header = _header(F.concat(F.col("gene_id"), F.lit(suffix)), ("gene_id", F.col("gene_id")), ("gene_name", F.col("gene_name")), *_place())
+    header = make_header(F.concat(F.col("gene_id"), F.lit(suffix)), ("gene_id", F.col("gene_id")), ("gene_name", F.col("gene_name")), *_place())
     return parts.select("chromosome", "first_seen", "gene_id", header.alias("header"), _stranded().alias("sequence"))

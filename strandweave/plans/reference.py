@@ -51,9 +51,9 @@ def seq_complement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fasta_complement(spark: SparkSession, d: str) -> DataFrame:
-    """Real sequences: gaps and unknown codes have no complement, so that sequences with them are left out by rule."""
-    t = table(spark, d, "fasta_entries").where(F.upper("sequence").rlike("^[ACGTNRYSWKMBDHV]*$"))
-    return t.select("entry_no", F.md5(sq.complement("sequence", reverse=True).cast("binary")).alias("md5"))
+    """Real sequences; gaps and unknown codes, which have no complement, become N first."""
+    known = F.regexp_replace(F.upper("sequence"), "[^ACGTNRYSWKMBDHV]", "N")
+    return table(spark, d, "fasta_entries").select("entry_no", F.md5(sq.complement(known, reverse=True).cast("binary")).alias("md5"))
 
 
 def seq_hamming(spark: SparkSession, d: str) -> DataFrame:
@@ -69,19 +69,15 @@ def _barcodes(spark: SparkSession, size: int = 12) -> DataFrame:
 
 
 def seq_hamming_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Every part against a fixed list of barcodes, which rides along as an array."""
-    listed = F.transform(F.sequence(F.lit(0), F.lit(BARCODES - 1)), lambda i: F.substring(dna(i), 1, 12))
-    p = table(spark, d, "part").select("p_partkey", F.substring(codes(F.col("p_partkey")), 1, 12).alias("s"), F.posexplode(listed).alias("barcode_no", "b"))
-    return p.select("p_partkey", "barcode_no", sq.hamming("s", "b").alias("distance"))
+    """Every part against a fixed list of barcodes."""
+    p = table(spark, d, "part").select("p_partkey", F.substring(codes(F.col("p_partkey")), 1, 12).alias("s"))
+    listed = _barcodes(spark).withColumn("barcode_no", F.col("barcode_no").cast("int"))
+    return sq.hamming_matrix(p, "p_partkey", "s", listed, "barcode_no", "barcode")
 
 
 def seq_pairwise_hamming(spark: SparkSession, d: str) -> DataFrame:
     """The symmetric distances of one fixed list, each pair compared once."""
-    n = table(spark, d, "nation").select("n_nationkey", F.substring(codes(F.col("n_nationkey")), 1, 16).alias("s"))
-    listed = n.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "s"))).alias("all"))
-    halves = listed.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.n_nationkey <= y.n_nationkey")
-    half = halves.select(F.col("x.n_nationkey").alias("i"), F.col("y.n_nationkey").alias("j"), sq.hamming("x.s", "y.s").alias("distance"))
-    return half.unionByName(half.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))
+    return sq.hamming_pairwise(table(spark, d, "nation").select("n_nationkey", F.substring(codes(F.col("n_nationkey")), 1, 16).alias("s")), "n_nationkey", "s")
 
 
 def seq_levenshtein(spark: SparkSession, d: str) -> DataFrame:
@@ -159,6 +155,16 @@ def whitelist_posterior(spark: SparkSession, d: str) -> DataFrame:
     return correction.correct_posterior(_barcoded(spark, d), "event_id", "barcode", "quality", _barcodes(spark), "barcode")
 
 
+def whitelist_ambiguous(spark: SparkSession, d: str) -> DataFrame:
+    """Barcodes of 16 bases with 0 to 16 of them unread, within two mismatches."""
+    key = F.col("event_id")
+    clean = F.substring(dna(F.pmod(key, F.lit(BARCODES))), 1, 16)
+    unread = F.pmod(key, F.lit(17)).cast("int")
+    read = F.concat(F.substring(clean, F.lit(1), 16 - unread), F.repeat(F.lit("N"), unread))
+    spoiled = F.when(F.pmod(F.floor(key / 3), F.lit(2)) == 0, read).otherwise(F.concat(F.lit("A"), F.substring(read, 2, 15)))
+    return correction.correct_simple(_events(spark, d).select(spoiled.alias("barcode")), "barcode", _barcodes(spark, 16), "barcode", d=2)
+
+
 def barcode_counts(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: reads cut by a layout, barcodes corrected to the list, reads and distinct UMIs per barcode."""
     layout = layouts.Chemistry("short", 1, layouts.Strand.FORWARD, {"cell_barcode": layouts.Parser((layouts.Slice(0, 0, 12),)), "umi": layouts.Parser((layouts.Slice(0, 12, 8),))})
@@ -186,8 +192,11 @@ def seg_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seg_flank(spark: SparkSession, d: str) -> DataFrame:
-    s, e = intervals.flank(F.col("start"), F.col("end"), 7, F.lit(3), F.lit(1500))
-    return _segments(spark, d).where("end <= 1500 and start >= 3").select("k", "start", "end", s.alias("flank_start"), e.alias("flank_end"))
+    """Every segment, flanked within its key's first start and last end."""
+    rows = _segments(spark, d)
+    bounds = rows.groupBy("k").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+    s, e = intervals.flank(F.col("start"), F.col("end"), 7, F.col("lo"), F.col("hi"))
+    return rows.join(bounds, "k").select("k", "start", "end", s.alias("flank_start"), e.alias("flank_end"))
 
 
 def seg_collapse(spark: SparkSession, d: str) -> DataFrame:
@@ -232,8 +241,9 @@ def seg_overlapping_collections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seg_subset_collections(spark: SparkSession, d: str) -> DataFrame:
+    """Whether one half's segments lie within the other half's, flanked."""
     a, b = _halves(spark, d)
-    return intervals.subset_collections(a.where("end - start <= 2"), a.unionByName(b), ["k"])
+    return intervals.subset_collections(a, intervals.flank_collections(b, ["k"], 25), ["k"])
 
 
 def seg_span_exclusive(spark: SparkSession, d: str) -> DataFrame:
@@ -288,10 +298,13 @@ def _genome(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _small_annotation(spark: SparkSession, d: str) -> DataFrame:
-    """Entries folded onto the made-up genome: positions of real ones taken modulo its least length."""
-    e = _entries(spark, d)
-    start = F.pmod("start", F.lit(3000)) + 1
-    return e.withColumns({"start": start, "end": start + F.pmod(F.col("end") - F.col("start"), F.lit(400)), "chromosome": F.concat(F.lit("LG0"), F.pmod(F.char_length(F.col("attributes")["gene_id"]) + F.ascii(F.reverse(F.col("attributes")["gene_id"])), F.lit(5)).cast("string"))})
+    """Entries folded onto the made-up genome: starts and lengths of real ones taken modulo their chromosome's length."""
+    gene = F.col("attributes")["gene_id"]
+    e = _entries(spark, d).withColumn("place", F.pmod(F.char_length(gene) + F.ascii(F.reverse(gene)), F.lit(5)))
+    lengths = table(spark, d, "documents").groupBy(F.pmod("doc_id", F.lit(5)).cast("int").alias("place")).agg((F.count(F.lit(1)) * 32).alias("bases"))
+    folded = e.join(F.broadcast(lengths), "place")  # five rows
+    start = F.pmod("start", F.col("bases")) + 1
+    return folded.withColumns({"start": start, "end": start + F.pmod(F.col("end") - F.col("start"), F.col("bases")), "chromosome": F.concat(F.lit("LG0"), F.col("place").cast("string"))}).drop("place", "bases")
 
 
 def _cut(spark: SparkSession, d: str, what: str) -> DataFrame:
@@ -318,13 +331,9 @@ def fasta_nascent(spark: SparkSession, d: str) -> DataFrame:
 
 def fasta_headers(spark: SparkSession, d: str) -> DataFrame:
     """Names and attributes read from headers, and headers made from both."""
-    h = F.trim("header")
-    name = F.substring_index(F.substring(h, F.lit(2), F.char_length(h)), " ", 1)
-    rest = F.when(F.instr(h, " ") > 0, F.substring(h, F.instr(h, " ") + 1, F.char_length(h))).otherwise("")
-    return table(spark, d, "fasta_entries").where(F.col("header").startswith(">")).select(
-        "entry_no", name.alias("parsed_name"), F.size(F.regexp_extract_all(rest, F.lit(r"(\S+?):(\S*)"), F.lit(1))).alias("n_attributes"),
-        F.concat(F.lit(">"), name, F.lit(" n:"), F.coalesce(F.char_length("sequence"), F.lit(0)).cast("string")).alias("made_header"),
-    )
+    name, attributes = annotation.header_parts(F.col("header"))
+    made = annotation.make_header(name, ("n", F.coalesce(F.char_length("sequence"), F.lit(0))))
+    return table(spark, d, "fasta_entries").where(F.col("header").startswith(">")).select("entry_no", name.alias("parsed_name"), F.size(attributes).alias("n_attributes"), made.alias("made_header"))
 
 
 def _fastq(spark: SparkSession, d: str, salt: str) -> DataFrame:
@@ -357,6 +366,23 @@ def chem_lengths(spark: SparkSession, d: str) -> DataFrame:
     return ends.select("name", "read_index", F.when(F.col("open") == 0, F.col("e")).alias("read_length"))
 
 
+def _lanes(spark: SparkSession, d: str, salt: str) -> DataFrame:
+    """The reads of a side in three files, each with indices of its own."""
+    lane, index = F.pmod("read_index", F.lit(3)).cast("int"), F.floor(F.col("read_index") / 3)
+    return _fastq(spark, d, salt).withColumns({"file": F.concat(F.lit(f"side{salt}_lane"), lane.cast("string")), "read_index": index})
+
+
+def fastq_zip_multi(spark: SparkSession, d: str) -> DataFrame:
+    z = records.zip_reads([_lanes(spark, d, "0"), _lanes(spark, d, "1")])
+    return z.select("file_no", "read_index", F.col("reads")[0]["name"].alias("name"), F.col("reads")[0]["sequence"].alias("s0"), F.col("reads")[1]["sequence"].alias("s1"))
+
+
+def rec_split_multi(spark: SparkSession, d: str) -> DataFrame:
+    """Records of three files split as one."""
+    made = records.reads_to_records(_lanes(spark, d, "0"), "rg")
+    return records.split_records(made, n=7, check_pairs=False).select("file", "record_index", "split_id")
+
+
 def fastq_zip(spark: SparkSession, d: str) -> DataFrame:
     z = records.zip_reads([_fastq(spark, d, "0"), _fastq(spark, d, "1")])
     return z.select("read_index", F.col("reads")[0]["name"].alias("name"), F.col("reads")[0]["sequence"].alias("s0"), F.col("reads")[1]["sequence"].alias("s1"))
@@ -435,10 +461,10 @@ def validators(spark: SparkSession, d: str) -> DataFrame:
 
 _PLAIN = (
     seq_dna, seq_complement, fasta_complement, seq_hamming, seq_hamming_iupac, seq_hamming_matrix, seq_pairwise_hamming, seq_levenshtein, seq_levenshtein_iupac, seq_cigar,
-    seq_cigar_gapped, seq_disambiguate, qual_values, qual_median, positional_weights, consensus_first, consensus_full, whitelist_simple, whitelist_posterior, barcode_counts,
+    seq_cigar_gapped, seq_disambiguate, qual_values, qual_median, positional_weights, consensus_first, consensus_full, whitelist_simple, whitelist_posterior, whitelist_ambiguous, barcode_counts,
     seg_predicates, seg_flank, seg_collapse, seg_invert, seg_span, seg_collection_flank, seg_from_positions, seg_union_collapse, seg_overlapping, seg_overlapping_collections,
     seg_subset_collections, seg_span_exclusive, gtf_parse, gtf_attributes, gtf_filter, gene_info, transcript_info, transcript_exons, transcript_introns, fasta_cdna, fasta_introns,
-    fasta_nascent, fasta_headers, chem_registry, chem_lengths, fastq_zip, rec_from_layout, rec_map, rec_apply, rec_filter, rec_count, rec_split_key, rec_split_n, rec_split_n_pairs,
+    fasta_nascent, fasta_headers, chem_registry, chem_lengths, fastq_zip, fastq_zip_multi, rec_split_multi, rec_from_layout, rec_map, rec_apply, rec_filter, rec_count, rec_split_key, rec_split_n, rec_split_n_pairs,
     rec_tag_join, dict_merge, dict_flatten, validators,
 )
 LAYOUTS = [c.name for c in layouts.registry() if isinstance(c, layouts.Chemistry) and c.n]

@@ -103,14 +103,14 @@ def _item(name: str) -> str:
   for x in regexp_extract_all(c[9], '[^ ;"]+ +("[^"]*"|[^ ;"][^;"]*)')], lambda y: y[1] = '{name}')[-1][2]"""
 
 
-def _features(place: str) -> str:
+def _features(place: str, joined: str = "") -> str:
     return rf"""{LINES},
 entries as (
   select raw_no as line_no, trim(c[1], ' ') as chromosome, trim(c[3], ' ') as feature, cast(trim(c[4], ' ') as bigint) as p, cast(trim(c[5], ' ') as bigint) as q, trim(c[7], ' ') as strand,
     {_item('gene_id')} as gene_id, {_item('transcript_id')} as transcript_id, coalesce({_item('gene_name')}, '') as gene_name, coalesce({_item('transcript_name')}, '') as transcript_name
   from judged where reason is null
 ),
-f as (select line_no, feature, strand, gene_id, transcript_id, gene_name, transcript_name, {place} from entries where feature in ('exon', 'transcript', 'gene') and gene_id is not null),
+f as (select line_no, feature, strand, gene_id, transcript_id, gene_name, transcript_name, {place} from entries {joined} where feature in ('exon', 'transcript', 'gene') and gene_id is not null),
 gene_last as (select gene_id, max(case when feature = 'gene' then line_no end) as l from f group by gene_id),
 genes_ as (
   select f.gene_id,
@@ -138,7 +138,7 @@ introns_ as ({_gaps('inner_', 'transcripts_', 'transcript_id')})"""
 
 
 _OWN = _features("chromosome, p - 1 as s, q as e")
-_FOLDED = _features("'LG0' || ((length(gene_id) + ascii(right(gene_id, 1))) % 5) as chromosome, p % 3000 as s, p % 3000 + 1 + (q - p) % 400 as e")
+_FOLDED = _features("'LG0' || ((length(gene_id) + ascii(right(gene_id, 1))) % 5) as chromosome, p % bases as s, p % bases + 1 + (q - p) % bases as e", "join (select doc_id % 5 as place, count(*) * 32 as bases from documents group by 1) l on l.place = (length(gene_id) + ascii(right(gene_id, 1))) % 5")
 _GENOME = f"genome as (select 'LG0' || (doc_id % 5) as chromosome, string_agg({_dna('doc_id')}, '' order by doc_id) as sequence from documents group by 1)"
 _STRANDED = f"case when strand = '-' then reverse({_complement('sq')}) else sq end as sequence"
 _ABOUT = "' gene_id:' || g.gene_id || ' gene_name:' || g.gene_name"
@@ -171,11 +171,31 @@ def _layout_sql(c: layouts.Chemistry) -> str:
     return f"select read_index, {fields} from (select r0.read_index, {reads} from {joins})"
 
 
+def _value(x: object) -> str:
+    return "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+_REGISTRY = "select * from (values " + ", ".join(
+    "(" + ", ".join(map(_value, (c.name, c.kind, c.n, c.strand.name, field, i, s.index, s.start, s.length, s.end, c.whitelist))) + ")"
+    for x in layouts.registry() for c in (x.chemistries.values() if isinstance(x, layouts.Multimodal) else [x]) for field, p in c.parsers.items() for i, s in enumerate(p)
+) + ") t(name, kind, n_reads, strand, field, part_no, read_index, slice_start, slice_length, slice_end, whitelist)"
+_AMBIGUOUS = f"""reads as (
+  select distinct case when (event_id // 3) % 2 = 0 then r else 'A' || substr(r, 2) end as s
+  from (select event_id, substr(substr({_dna('event_id % 40')}, 1, 16), 1, cast(16 - event_id % 17 as integer)) || repeat('N', cast(event_id % 17 as integer)) as r from events)
+),
+wl as (select distinct substr({_dna('i')}, 1, 16) as w from range(40) t(i)),
+near as (select * from (select s, w, {_hamming('s', 'w', '16')} as mm from reads, wl where s not in (select w from wl)) where mm <= 2)"""
+
+
 SQL = {
+    "whitelist_ambiguous": f"""with {_AMBIGUOUS}
+select r.s as barcode, coalesce(wl.w, f.w) as corrected from reads r left join wl on wl.w = r.s left join (
+  select s, case when count(case when mm = 0 then 1 end) = 1 then min(case when mm = 0 then w end)
+    when count(case when mm = 0 then 1 end) = 0 and count(*) = 1 then min(w) end as w from near group by s) f on f.s = r.s""",
     "seq_dna": f"select event_id, {_dna('event_id')} as dna, {_codes('event_id')} as codes from events",
     "seq_complement": f"""select event_id, {_complement('s')} as complement, reverse({_complement('s')}) as reverse_complement
 from (select event_id, replace({_codes('event_id')}, '-', 'N') as s from events)""",
-    "fasta_complement": f"select entry_no, md5(reverse({_complement('sequence')})) as md5 from fasta_entries where regexp_full_match(upper(sequence), '[ACGTNRYSWKMBDHV]*')",
+    "fasta_complement": f"select entry_no, md5(reverse({_complement('s')})) as md5 from (select entry_no, regexp_replace(upper(sequence), '[^ACGTNRYSWKMBDHV]', 'N', 'g') as s from fasta_entries)",
     "seq_hamming": f"select event_id, {_hamming('a', 'b', '32')} as distance from (select event_id, {_dna('event_id')} as a, {_dna('user_id')} as b from events)",
     "seq_hamming_iupac": f"select event_id, {_hamming('a', 'b', '32')} as distance from (select event_id, {_codes('event_id')} as a, {_codes('user_id')} as b from events)",
     "seq_hamming_matrix": f"""select p_partkey, cast(barcode_no as integer) as barcode_no, {_hamming('s', 'barcode', '12')} as distance
@@ -228,7 +248,7 @@ from barcoded b join simple s on s.barcode = b.barcode where s.corrected is not
     "seg_predicates": """select l_orderkey, l_linenumber, e1 - s1 as width, s1 <= s2 and s2 < e1 as holds, s1 < e2 and s2 < e1 as overlapping, not (s1 < e2 and s2 < e1) as "exclusive",
   s2 >= s1 and e2 <= e1 as subset, s1 >= s2 and e1 <= e2 as superset
 from (select *, s2 + cast(floor(l_discount * 100) as bigint) as e2 from (select *, l_partkey as s1, cast(l_partkey + floor(l_quantity) as bigint) as e1, cast(l_partkey + floor(l_tax * 100) * 5 as bigint) as s2 from lineitem))""",
-    "seg_flank": f'with {_SEGMENTS} select k, s as "start", e as "end", greatest(3, s - 7) as flank_start, least(e + 7, 1500) as flank_end from seg where e <= 1500 and s >= 3',
+    "seg_flank": f'with {_SEGMENTS} select k, s as "start", e as "end", greatest(min(s) over (partition by k), s - 7) as flank_start, least(e + 7, max(e) over (partition by k)) as flank_end from seg',
     "seg_collapse": f'with {_SEGMENTS}, {_collapsed("c", "from seg")} select k, s as "start", e as "end" from c',
     "seg_invert": f"""with {_SEGMENTS}, {_collapsed("c", "from seg")}, bounds as (select k, min(s) - 2 as s, max(e) + 3 as e from seg group by k)
 {_gaps("c", "bounds", "k")}""",
@@ -242,7 +262,7 @@ select x.k, coalesce(min(c.s), 0) as span_start, coalesce(max(c.e), 0) as span_e
 select k, s as "start", e as "end" from c where exists (select 1 from seg b where b.half = 1 and b.k = c.k and b.e > b.s and c.s < b.e and b.s < c.e)""",
     "seg_overlapping_collections": f"""with {_SEGMENTS}
 select distinct a.k from seg a join seg b on a.k = b.k and a.half = 0 and b.half = 1 and a.e > a.s and b.e > b.s and a.s < b.e and b.s < a.e""",
-    "seg_subset_collections": f"""with {_SEGMENTS}, {_collapsed("a", "select k, s, e from seg where half = 0 and e - s <= 2")}, {_collapsed("b", "select k, s, e from seg")}
+    "seg_subset_collections": f"""with {_SEGMENTS}, {_collapsed("a", "select k, s, e from seg where half = 0")}, {_collapsed("b", "select k, greatest(0, s - 25) as s, e + 25 as e from seg where half = 1 and e > s")}
 select k from (select a.k, exists (select 1 from b where b.k = a.k and b.s <= a.s and a.e <= b.e) as inside from a) group by k having bool_and(inside)""",
     "seg_span_exclusive": f"""with {_SEGMENTS},
 span as (select k, half, coalesce(min(case when e > s then s end), 0) as s, coalesce(max(case when e > s then e end), 0) as e from seg group by k, half)
@@ -271,10 +291,25 @@ select g.gene_id, '>' || g.gene_id || {_ABOUT} || {_PLACE.replace('o.', 'g.')},
 from (select genes_.*, substr(n.sequence, cast(genes_.s + 1 as integer), cast(genes_.e - genes_.s as integer)) as sq from genes_ join genome n on n.chromosome = genes_.chromosome) g
 where sq <> ''""",
     "fasta_headers": r"""select entry_no, split_part(substr(h, 2), ' ', 1) as parsed_name,
-  cast(len(regexp_extract_all(case when strpos(h, ' ') > 0 then substr(h, strpos(h, ' ') + 1) else '' end, '(\S+?):(\S*)')) as integer) as n_attributes,
+  cast(len(list_distinct(regexp_extract_all(case when strpos(h, ' ') > 0 then substr(h, strpos(h, ' ') + 1) else '' end, '(\S+?):(\S*)', 1))) as integer) as n_attributes,
   '>' || split_part(substr(h, 2), ' ', 1) || ' n:' || coalesce(length(sequence), 0) as made_header
 from (select *, trim(header, ' ') as h from fasta_entries where starts_with(header, '>'))""",
     "fastq_zip": f"select a.read_index, a.name, a.sequence as s0, b.sequence as s1 from ({_fastq('0')}) a join ({_fastq('1')}) b on a.read_index = b.read_index",
+    "fastq_zip_multi": f"""select cast(a.read_index % 3 as integer) as file_no, a.read_index // 3 as read_index, a.name, a.sequence as s0, b.sequence as s1 from ({_fastq('0')}) a join ({_fastq('1')}) b on a.read_index = b.read_index""",
+    "rec_split_multi": f"""with rec as (select 'side0_lane' || (read_index % 3) as file, read_index // 3 as record_index from ({_fastq('0')}))
+select file, record_index, cast((row_number() over (order by file, record_index) - 1) // ((select count(*) from rec) // 7 + 1) as varchar) as split_id from rec""",
+    "rec_split_n_pairs": f"""with recursive {_RECORDS},
+mates as (select *, case when flag = 5 then max(record_index) over (partition by qname) else record_index end as last, case when flag = 5 then 2 else 1 end as weight from rec),
+sums as (select record_index, sum(weight) over (order by record_index) as so_far from mates where record_index = last),
+size as (select count(*) // 7 + 1 as n from rec),
+closings(c) as (
+  select case when n in (select so_far from sums) then n else n + 1 end from size
+  union all
+  select case when c + n in (select so_far from sums) then c + n else c + n + 1 end from closings, size where c < (select max(so_far) from sums)
+)
+select m.record_index, cast((select count(*) from closings where c < s.so_far) as varchar) as split_id from mates m join sums s on s.record_index = m.last""",
+    "chem_registry": _REGISTRY,
+    "chem_lengths": f"""select name, read_index, case when count(*) = count(slice_end) then max(slice_end) end as read_length from ({_REGISTRY}) group by name, read_index""",
     "rec_from_layout": f"""select a.read_index as record_index, a.name as qname, 4 as flag, b.sequence as seq, b.quality as qual, 'rg1' as rg, substr(a.sequence, 1, 16) as cr, substr(a.quality, 1, 16) as cy,
   substr(a.sequence, 17, 12) as ur, substr(a.quality, 17, 12) as uy from ({_fastq('0')}) a join ({_fastq('1')}) b on a.read_index = b.read_index""",
     "rec_map": f"""with {_RECORDS} select record_index, cast(length(seq) as integer) as n_bases, round(list_sum([ascii(substr(qual, i, 1)) - 33 for i in range(1, 65)]) / 64.0::double, 4) as mean_quality from rec""",

@@ -12,6 +12,8 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +126,10 @@ class CharModel:
         # Hashed counts of an n-gram may exceed its context's by collisions.
         return np.log(np.minimum(p3, 1.0))
 
+    def without(self, part: CharModel) -> CharModel:
+        """The model of the texts that are left without those of ``part``, which are among its own."""
+        return CharModel(self.tri - part.tri, self.bi - part.bi, self.uni - part.uni, self.runs - part.runs)
+
     def occurrences(self, chars: str) -> np.ndarray:
         """How often each character occurs."""
         return self.uni[codes(chars) & np.uint32((1 << BITS[2]) - 1)]
@@ -164,18 +170,38 @@ def counted(texts: Iterator[list[str]]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(texts: DataFrame, column: str, change: Callable[[list[str]], list[str]] | None = None) -> CharModel:
-    """The model of all non-null texts of a column, or of what ``change`` makes of them. What comes to the driver is bounded by ``BITS``."""
+def counts(texts: DataFrame, column: str, change: Callable[[list[str]], list[str]] | None = None, fold: str | None = None) -> DataFrame:
+    """(fold, level, place, n): the counts of all non-null texts of a column, or of what ``change`` makes of them, by the
+    values of the column ``fold`` (0 without one)."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str]]]:
+        for batch in batches:
+            of = batch.column(1).to_numpy()
+            for k in np.unique(of):
+                yield int(k), batch.column(0).filter(pa.array(of == k)).to_pylist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (batch.column(0).to_pylist() for batch in batches)
-        yield from counted(map(change, parts) if change else parts)
+        for k, group in groupby(parts(batches), itemgetter(0)):
+            own = (t for _, t in group)
+            for batch in counted(map(change, own) if change else own):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), k), pa.int32()), *batch.columns], names=["fold", *batch.schema.names])
+
+    of = F.col(fold).cast("int") if fold else F.lit(0)
+    thin = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text"), of.alias("fold"))
+    return thin.mapInArrow(count, "fold int, level int, place bigint, n bigint").groupBy("fold", "level", "place").agg(F.sum("n").alias("n"))
 
-    thin = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text"))
-    sums = thin.mapInArrow(count, "level int, place bigint, n bigint").groupBy("level", "place").agg(F.sum("n").alias("n")).toArrow()
+
+def collected(counts: DataFrame) -> CharModel:
+    """The model of the counts (level, place, n), each place once. What comes to the driver is bounded by ``BITS``."""
+    sums = counts.select("level", "place", "n").toArrow()
     tables = [np.zeros(1 << bits, dtype=np.int64) for bits in BITS]
     level, place, n = (sums.column(i).to_numpy() for i in range(3))
     for at, total in enumerate(tables):
         own = level == at
         total[place[own]] = n[own]
     return CharModel(*tables)
+
+
+def train(texts: DataFrame, column: str, change: Callable[[list[str]], list[str]] | None = None) -> CharModel:
+    """The model of all non-null texts of a column, or of what ``change`` makes of them."""
+    return collected(counts(texts, column, change))

@@ -304,3 +304,33 @@ def test_a_model_is_the_same_after_it_was_sent(spark):
         again = pickle.loads(pickle.dumps(m))
         assert all((a == b).all() and a.dtype == b.dtype for a, b in zip((m.tri, m.bi, m.uni, m.runs), (again.tri, again.bi, again.uni, again.runs))) and again.total == m.total
     assert len(pickle.dumps(model)) < 1_000_000
+
+
+def test_model_and_margin_of_garbled_texts_come_from_all_records(spark, monkeypatch):
+    docs, _ = _corpus()
+    texts = {t for _, t in docs} | {f"plain text {i}" for i in range(50)}
+    df = spark.createDataFrame([(t,) for t in [None, *sorted(texts), docs[0][1]]], "t string")
+    fitted = garble.fit(df, "t")
+    # Every record beyond ASCII is judged once as it is and once garbled, if a chain changes it.
+    n = sum(not t.isascii() for t in texts)
+    gains = fitted.gains.toPandas()
+    stored, wrong = gains[gains.kind < 0].gain, gains[gains.kind >= 0].gain
+    assert len(stored) == n and 0.9 * n <= len(wrong) <= n
+    assert fitted.margin == garble.set_margin(stored.tolist(), wrong.tolist())
+    # Each text begins at one edge that nothing else holds, and is counted.
+    assert fitted.model.uni[ord(charmodel.EDGE)] == len(texts)
+    # Gains that are known up to a bound give the same margin, also if it lies beyond the first one.
+    monkeypatch.setattr(garble, "ENOUGH", 7.0)
+    again = garble.fit(df, "t")
+    assert again.margin == fitted.margin and again.gains.count() == len(gains)
+
+
+def test_counts_by_fold_leave_the_fold_out(spark):
+    texts = [(t, k % 3) for k, t in enumerate(CLEAN * 2)] + [(None, 1)]
+    df = spark.createDataFrame(texts, "t string, fold int").repartition(2)
+    by_fold = charmodel.counts(df, "t", None, "fold").cache()
+    whole = charmodel.train(df, "t")
+    for k in range(3):
+        left = whole.without(charmodel.collected(by_fold.where(f"fold = {k}")))
+        want = charmodel.train(df.where(f"fold <> {k}"), "t")
+        assert all((a == b).all() for a, b in zip((left.tri, left.bi, left.uni, left.runs), (want.tri, want.bi, want.uni, want.runs)))
